@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm.common import table
 
 
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkwell.llm.records import token_records
+
+    return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.near_dedup import near_dedup
 
@@ -16,6 +24,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_records": op1_token_records,
     "op10_near_dedup": op10_near_dedup,
 }
 

@@ -93,6 +93,15 @@ class Words:
         return np.diff(self.bounds)
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span, from prefix sums of a polynomial over random byte codes."""
+    n = len(data)
+    up, down = _tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def words(chunk: Chunk, lower: bool = False, hashed: bool = True) -> Words:
     """Maximal runs of bytes other than U+0020 and U+0009 to U+000D; ``lower`` folds A-Z before hashing."""
     data, n = chunk.data, len(chunk.data)
@@ -111,11 +120,7 @@ def words(chunk: Chunk, lower: bool = False, hashed: bool = True) -> Words:
     bounds = np.searchsorted(start, chunk.bounds)
     value = np.zeros(0, np.uint64)
     if hashed:
-        up, down = _tables(n + 1)
-        code = _BYTE_CODE[_LOWER[data] if lower else data]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(code * up[:n], out=total[1:])
-        value = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        value = span_hash(_LOWER[data] if lower else data, start, end)
     return Words(start, end, value, bounds)
 
 
