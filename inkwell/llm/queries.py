@@ -17,6 +17,24 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.host_rules import host_rules
+
+    return host_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.near_dedup import near_dedup
 
@@ -25,6 +43,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_toxicity": op2_toxicity,
+    "op6_quality": op6_quality,
+    "op7_host_rules": op7_host_rules,
     "op10_near_dedup": op10_near_dedup,
 }
 

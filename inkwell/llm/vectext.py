@@ -93,6 +93,11 @@ class Words:
         return np.diff(self.bounds)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z folded."""
+    return _LOWER[data]
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, from prefix sums of a polynomial over random byte codes."""
     n = len(data)
