@@ -23,6 +23,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.quality import quality
 
@@ -44,6 +50,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_toxicity": op2_toxicity,
+    "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_host_rules": op7_host_rules,
     "op10_near_dedup": op10_near_dedup,
