@@ -41,6 +41,14 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkwell.llm.byte_bpe import read_ranks, round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.near_dedup import near_dedup
 
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_host_rules": op7_host_rules,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
 }
 
