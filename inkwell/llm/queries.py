@@ -23,6 +23,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkwell.llm.lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.mixing import mix
 
@@ -58,6 +66,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_toxicity": op2_toxicity,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_host_rules": op7_host_rules,
