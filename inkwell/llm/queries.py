@@ -56,6 +56,12 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.personal_data import find
+
+    return find(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_host_rules": op7_host_rules,
+    "op8_personal_data": op8_personal_data,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
 }
