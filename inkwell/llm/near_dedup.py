@@ -29,7 +29,7 @@ from inkwell.llm.components import components
 CHUNKS, LANES = 14, 5
 WIDTH = CHUNKS * LANES
 MOST = 2 * CHUNKS - 1
-BLOCK = 1024
+BLOCK = 4096
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -195,7 +195,9 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
 
     labelled = bucket.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = labelled.where("members > 2").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    open_ = keep(labelled.join(mixed, "key", "left_semi").select("rep", "pivot", "root").distinct())
+    open_ = labelled.join(mixed, "key", "left_semi").select("rep", "pivot", "root").distinct()
+    open_ = open_.join(roots.select(F.col("u").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
+    open_ = keep(open_.select("rep", "root", F.coalesce("pivot_root", "pivot").alias("pivot_root")).distinct())
     if not open_.isEmpty():
         links = links.union(_finish(open_, reps, set_of, percent))
         roots = components(links)
@@ -212,8 +214,8 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
 
 def _finish(open_: DataFrame, reps: DataFrame, set_of, percent: int) -> DataFrame:
     """Links inside buckets that are still split: block pairs of the groups that their stars make."""
-    group = components(open_.select(F.col("rep").alias("u"), F.col("pivot").alias("v"))).select(F.col("u").alias("id"), F.col("root").alias("area"))
-    members = open_.select(F.col("rep").alias("id"), "root").distinct().join(group, "id", "left").withColumn("area", F.coalesce("area", "id"))
+    group = components(open_.select(F.col("root").alias("u"), F.col("pivot_root").alias("v"))).select(F.col("u").alias("root"), F.col("root").alias("area"))
+    members = open_.select(F.col("rep").alias("id"), "root").distinct().join(group, "root", "left").withColumn("area", F.coalesce("area", "root"))
     sizes = members.groupBy("area").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     members = members.join(sizes, "area").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     members = keep(members.join(reps.select(F.col("rep").alias("id"), "lanes"), "id"))
