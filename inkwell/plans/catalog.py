@@ -1,10 +1,411 @@
-"""Queries of the library and the SQL that states the same results."""
+"""Queries of the library and the SQL that states the same results.
+
+Classes on the tables at hand: English against other documents for vocabulary; sources src0 to src6 as "models" against
+the others for rhythm; labels.quality for cross-validation. Metrics are rounded to six places at the hand-off to
+statistics, as the published analysis hands them over.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.functions import stats, text
+from inkwell.operators import classify, compare, lexical, rhythm
+from inkwell.plans import sql as S
+from inkwell.profiles import LATIN, SEED
 
+MODELS = [f"src{i}" for i in range(7)]
+REPS, K = 20, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(statement: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if statement:
+            ORACLE_SQL[f.__name__] = statement
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", *columns)
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.doc_words(_docs(spark, d, "lang", "source")).select("doc_id", "source", (F.col("lang") == "en").alias("y"), "n_tokens", "words")
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rhythm.metrics(_docs(spark, d, "source")).withColumn("ai", F.col("source").isin(MODELS))
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    rows = compare.long_metrics(_metrics(spark, d), S.NAMES, "doc_id", "source", "ai")
+    return rows.withColumn("value", F.round("value", 6))
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    return _long(spark, d).where("ai").withColumnRenamed("source", "model")
+
+
+def _r(*names: str) -> list[Column]:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def _sql_r(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+# Text
+
+
+@query("SELECT source, count(*) FILTER (length(text) >= 100) AS kept, count(*) FILTER (length(text) < 100) AS skipped FROM documents GROUP BY source")
+def min_length_filter(spark: SparkSession, d: str) -> DataFrame:
+    long = F.length("text") >= 100
+    return _docs(spark, d, "source").groupBy("source").agg(F.count_if(long).alias("kept"), F.count_if(~long).alias("skipped"))
+
+
+@query(f"SELECT doc_id, length(c) AS n, md5(c) AS hash FROM (SELECT doc_id, {S.clean_lexical('text')} AS c FROM documents)")
+def clean_text_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.clean_lexical(F.col("text")).alias("c")).select("doc_id", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("hash"))
+
+
+@query(f"""WITH L AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS ln FROM pages), C AS (SELECT page_id, ln, {S.clean_inline('line')} AS c FROM L)
+SELECT page_id, sum(length(c))::BIGINT AS n, md5(string_agg(c, chr(10) ORDER BY ln)) AS hash FROM C GROUP BY page_id""")
+def clean_inline_rhythm(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.transform(F.split("html", "\n", -1), text.clean_inline).alias("lines")
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", lines)
+    n = F.aggregate("lines", F.lit(0).cast("long"), lambda t, x: t + F.length(x))
+    return pages.select("page_id", n.alias("n"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("hash"))
+
+
+@query(f"WITH {S.WORDS} SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_unique, md5(array_to_string(list_sort(list_distinct(tokens)), ' ')) AS hash FROM W")
+def doc_word_sets(spark: SparkSession, d: str) -> DataFrame:
+    return _words(spark, d).select("doc_id", "n_tokens", F.size("words").alias("n_unique"), F.md5(F.array_join("words", " ").cast("binary")).alias("hash"))
+
+
+@query(f"WITH {S.SENTENCES} SELECT doc_id, para_no, sent_no, text, is_list FROM S")
+def sentence_table(spark: SparkSession, d: str) -> DataFrame:
+    return rhythm.sentence_table(_docs(spark, d))
+
+
+# Vocabulary
+
+
+@query(f"WITH {S.WORDS} SELECT word, a, c FROM F")
+def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
+    rows = lexical.incidence(_words(spark, d), "y")
+    return lexical.doc_frequency(rows, F.col("y")).where("a + c >= 5")
+
+
+@query(f"WITH {S.TESTS} SELECT word, {_sql_r('p', 'q', 'ratio', 'delta')}, direction FROM Q")
+def excess_ratio_delta(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.excess(_words(spark, d), "y").select("word", *_r("p", "q", "ratio", "delta"), "direction")
+
+
+@query(f"WITH {S.TESTS} SELECT word, a, c, {_sql_r('chi2')}, round(-log10(greatest(p_value, 1e-300)), 5) AS neg_log_p FROM Q")
+def excess_chi2(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.excess(_words(spark, d), "y").select("word", "a", "c", *_r("chi2"), F.round(-F.log10(F.greatest("p_value", F.lit(1e-300))), 5).alias("neg_log_p"))
+
+
+@query(f"WITH {S.TESTS} SELECT word, a, c, round(-log10(greatest(q_fdr, 1e-300)), 5) AS neg_log_q, q_fdr < 0.05 AS sig_fdr FROM Q")
+def excess_bh(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.excess(_words(spark, d), "y").select("word", "a", "c", F.round(-F.log10(F.greatest("q_fdr", F.lit(1e-300))), 5).alias("neg_log_q"), "sig_fdr")
+
+
+@query(f"WITH {S.TESTS} SELECT word, round(-log10(greatest(p_bonferroni, 1e-300)), 5) AS neg_log_b, p_bonferroni < 0.05 AS sig_bonferroni FROM Q")
+def excess_bonferroni(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.excess(_words(spark, d), "y").select("word", F.round(-F.log10(F.greatest("p_bonferroni", F.lit(1e-300))), 5).alias("neg_log_b"), "sig_bonferroni")
+
+
+@query(f"""WITH {S.TESTS},
+O0 AS (SELECT y, unnest(tokens) AS word FROM W), O1 AS (SELECT word, count(*) FILTER (y) AS a, count(*) FILTER (NOT y) AS c FROM O0 GROUP BY word), ON_ AS (SELECT sum(a) AS n1, sum(c) AS n0 FROM O1),
+O AS (SELECT word, a/n1 - c/n0 AS s, coalesce({S.yates('a', 'c', 'n1', 'n0')}, 0) > 30 AS sig FROM O1, ON_),
+J AS (SELECT Q.*, O.sig, CASE WHEN s > 0 THEN 'excess' ELSE 'deficit' END AS od, direction = CASE WHEN s > 0 THEN 'excess' ELSE 'deficit' END AS same FROM Q JOIN O USING (word))
+SELECT count(*) AS tested, count(*) FILTER (sig) AS old_significant, count(*) FILTER (sig AND od = 'excess') AS old_excess, count(*) FILTER (q_fdr < 0.05) AS fdr, count(*) FILTER (p_bonferroni < 0.05) AS bonferroni,
+ count(*) FILTER (sig AND q_fdr < 0.05 AND same) AS survives_fdr, count(*) FILTER (sig AND p_bonferroni < 0.05 AND same) AS survives_bonferroni, count(*) FILTER (sig AND NOT same) AS direction_changed,
+ count(*) FILTER (NOT sig AND q_fdr < 0.05) AS newly_significant, count(*) FILTER (NOT sig AND q_fdr < 0.05 AND same) AS newly_significant_same_direction FROM J""")
+def excess_survival_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d, "lang").select((F.col("lang") == "en").alias("y"), F.explode(text.words(text.clean_lexical(F.col("text")), LATIN)).alias("word"))
+    tokens = docs.groupBy("word").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("c"))
+    n = tokens.agg(F.sum("a").alias("n1"), F.sum("c").alias("n0")).first()
+    old = F.coalesce(stats.yates(F.col("a"), F.col("c"), n["n1"], n["n0"]), F.lit(0.0)) > 30
+    prior = tokens.select("word", (F.col("a") / n["n1"] - F.col("c") / n["n0"]).alias("old_excess_score"), old.alias("old_sig"))
+    return lexical.survival(lexical.excess(_words(spark, d), "y"), prior)
+
+
+@query(f"""WITH {S.WORDS}, G AS (SELECT range AS rep FROM range({REPS})), U AS (SELECT word FROM F WHERE a + c >= 50),
+D AS (SELECT doc_id, y, rep, {S.poisson(f"'{SEED}:' || rep || ':' || doc_id")} AS w FROM W, G),
+T AS (SELECT rep, sum(CASE WHEN y THEN w ELSE 0 END) AS n1, sum(CASE WHEN y THEN 0 ELSE w END) AS n0 FROM D GROUP BY rep),
+H AS (SELECT rep, word, sum(CASE WHEN I.y THEN w ELSE 0 END) AS a, sum(CASE WHEN I.y THEN 0 ELSE w END) AS c FROM I JOIN D USING (doc_id) WHERE word IN (SELECT word FROM U) GROUP BY ALL),
+X AS (SELECT U.word, (coalesce(a,0)+1)/(n1+1) AS p, (coalesce(c,0)+1)/(n0+1) AS q FROM U CROSS JOIN T LEFT JOIN H ON H.word = U.word AND H.rep = T.rep)
+SELECT word, round(quantile_cont(p/q, 0.025), 5) AS r_ci_low, round(quantile_cont(p/q, 0.975), 5) AS r_ci_high, round(quantile_cont(p-q, 0.025), 5) AS delta_ci_low, round(quantile_cont(p-q, 0.975), 5) AS delta_ci_high,
+ quantile_cont(p/q, 0.025) > 1 OR quantile_cont(p/q, 0.975) < 1 AS excludes_one FROM X GROUP BY word""")
+def excess_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    words = _words(spark, d)
+    universe = lexical.doc_frequency(lexical.incidence(words, "y"), F.col("y")).where("a + c >= 50")
+    out = lexical.bootstrap_ci(words, "y", universe, REPS, SEED)
+    return out.select("word", *(F.round(c, 5).alias(c) for c in ("r_ci_low", "r_ci_high", "delta_ci_low", "delta_ci_high")), ((F.col("r_ci_low") > 1) | (F.col("r_ci_high") < 1)).alias("excludes_one"))
+
+
+@query(f"WITH {S.WORDS} SELECT doc_id FROM W WHERE len(tokens) = 0")
+def missing_words_anti(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.missing_words(_docs(spark, d), _words(spark, d))
+
+
+# Rhythm
+
+
+def _rhythm(name: str, *columns: str) -> None:
+    whole = {"n_paragraphs", "n_sentences", "n_sentences_prose", "included", "n_endings", "window_used"}
+    f = lambda spark, d: _metrics(spark, d).select("doc_id", *(F.col(c) if c in whole else F.round(c, 6).alias(c) for c in columns))
+    f.__name__ = name
+    query(f"WITH {S.METRICS} SELECT doc_id, {', '.join(c if c in whole else f'round({c}, 6) AS {c}' for c in columns)} FROM M")(f)
+
+
+_rhythm("paragraph_counts", "n_paragraphs", "n_sentences", "n_sentences_prose", "included")
+_rhythm("rhythm_sentence_length", "sent_len_char_mean", "sent_len_char_sd", "sent_len_char_cv")
+_rhythm("rhythm_mora_length", "sent_len_mora_mean", "sent_len_mora_sd", "sent_len_mora_cv")
+_rhythm("rhythm_burstiness", "burstiness_char", "burstiness_mora")
+_rhythm("rhythm_paragraph_cv", "para_sent_cv")
+_rhythm("rhythm_comma", "comma_per_sentence")
+_rhythm("rhythm_phrase_rate", "phrase_per_sentence")
+_rhythm("ending_ttr", "ending_bigram_ttr", "n_endings")
+_rhythm("ending_mattr", "mattr20", "window_used")
+
+
+@query(f"WITH {S.METRICS} SELECT doc_id, round(sent_len_char_mean*n_sentences, 4) AS n_chars_total, round(ln(1+n_sentences), 6) AS cov_log_sentences, round(ln(1+sent_len_char_mean*n_sentences), 6) AS cov_log_chars, round(mattr20, 6) AS mattr20 FROM M WHERE included = 1")
+def analysis_dataset(spark: SparkSession, d: str) -> DataFrame:
+    rows = rhythm.metrics(_docs(spark, d))
+    base = rhythm.covariates(rows.drop("mattr20").where("included = 1"))
+    joined = base.join(rows.select("doc_id", "mattr20"), "doc_id", "left")
+    return joined.select("doc_id", F.round("n_chars_total", 4).alias("n_chars_total"), *_r("cov_log_sentences", "cov_log_chars", "mattr20"))
+
+
+@query(f"""WITH {S.METRICS}, H AS (SELECT quantile_cont(sent_len_char_mean, 0.99) AS a, quantile_cont(sent_len_char_sd, 0.99) AS b, quantile_cont(comma_per_sentence, 0.99) AS c FROM M WHERE NOT ai)
+SELECT doc_id, source = 'src0' AND coalesce(sent_len_char_mean > a OR sent_len_char_sd > b OR comma_per_sentence > c, false) AS degenerate FROM M, H""")
+def degenerate_flag(spark: SparkSession, d: str) -> DataFrame:
+    return compare.outlier_flag(_metrics(spark, d), ~F.col("ai"), F.col("source") == "src0", ("sent_len_char_mean", "sent_len_char_sd", "comma_per_sentence")).select("doc_id", "degenerate")
+
+
+# Groups and models
+
+_SIDES = "count(*) FILTER (ai) AS n1, avg(value) FILTER (ai) AS mean1, stddev_samp(value) FILTER (ai) AS sd1, var_samp(value) FILTER (ai) AS v1, count(*) FILTER (NOT ai) AS n0, avg(value) FILTER (NOT ai) AS mean0, stddev_samp(value) FILTER (NOT ai) AS sd0, var_samp(value) FILTER (NOT ai) AS v0"
+
+
+@query(f"WITH {S.LONG} SELECT metric, n1, n0, {_sql_r('mean1', 'sd1', 'mean0', 'sd0')}, round({S.cohens_d('n1', 'mean1', 'v1', 'n0', 'mean0', 'v0')}, 6) AS cohens_d FROM (SELECT metric, {_SIDES} FROM V GROUP BY metric)")
+def group_cohens_d(spark: SparkSession, d: str) -> DataFrame:
+    return compare.group_effects(_long(spark, d), "ai").select("metric", "n1", "n0", *_r("mean1", "sd1", "mean0", "sd0", "cohens_d"))
+
+
+@query(f"WITH {S.LONG} SELECT metric, n1, n0, {_sql_r('u', 'p_value', 'rank_biserial')} FROM ({S.mann_whitney('V', 'ai', 'metric')})")
+def group_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
+    return compare.mann_whitney(_long(spark, d), "ai", "metric").select("metric", "n1", "n0", *_r("u", "p_value", "rank_biserial"))
+
+
+@query(f"""WITH {S.LONG}, P AS ({S.mann_whitney('V', 'ai', 'metric')}), R AS (SELECT *, row_number() OVER (ORDER BY p_value, metric) AS rn, count(*) OVER () AS m FROM P)
+SELECT metric, round(p_value, 6) AS p_value, round(max(least(1.0, (m-rn+1)*p_value)) OVER (ORDER BY rn), 6) AS p_holm FROM R""")
+def group_holm(spark: SparkSession, d: str) -> DataFrame:
+    return compare.mann_whitney(_long(spark, d), "ai", "metric").select("metric", F.round("p_value", 6).alias("p_value"), F.round(stats.holm("p_value"), 6).alias("p_holm"))
+
+
+@query(f"""WITH {S.LONG}, G AS (SELECT range AS rep FROM range({REPS})), DR AS (SELECT metric, ai, value, rep, {S.poisson(f"'{SEED}:' || rep || ':' || doc_id")} AS w FROM V, G),
+X AS (SELECT metric, rep, sum(w) FILTER (ai) AS n1, sum(w*value) FILTER (ai) AS s1, sum(w*value*value) FILTER (ai) AS q1, sum(w) FILTER (NOT ai) AS n0, sum(w*value) FILTER (NOT ai) AS s0, sum(w*value*value) FILTER (NOT ai) AS q0 FROM DR WHERE w > 0 GROUP BY ALL),
+E AS (SELECT metric, {S.cohens_d('n1', 's1/n1', 'greatest(q1-n1*(s1/n1)*(s1/n1), 0)/nullif(n1-1, 0)', 'n0', 's0/n0', 'greatest(q0-n0*(s0/n0)*(s0/n0), 0)/nullif(n0-1, 0)')} AS e FROM X)
+SELECT metric, round(quantile_cont(e, 0.025), 5) AS d_ci_lo, round(quantile_cont(e, 0.975), 5) AS d_ci_hi FROM E GROUP BY metric""")
+def cohens_d_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    return compare.effect_ci(_long(spark, d), "ai", REPS, SEED).select("metric", F.round("d_ci_lo", 5).alias("d_ci_lo"), F.round("d_ci_hi", 5).alias("d_ci_hi"))
+
+
+@query(f"""WITH {S.LONG}, H AS (SELECT metric, count(*) AS hn, avg(value) AS hm, var_samp(value) AS hv FROM V WHERE NOT ai GROUP BY metric), E AS (SELECT metric, source AS model, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, var_samp(value) AS v FROM V WHERE ai GROUP BY ALL)
+SELECT metric, model, n, {_sql_r('mean', 'sd')}, round({S.cohens_d('n', 'mean', 'v', 'hn', 'hm', 'hv')}, 6) AS cohens_d_vs_human FROM E JOIN H USING (metric)""")
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    human = _long(spark, d).where("not ai")
+    return compare.model_effects(_models(spark, d), human).select("metric", "model", "n", *_r("mean", "sd", "cohens_d_vs_human"))
+
+
+@query(f"""WITH {S.LONG}, E AS (SELECT metric, source, avg(value) AS mean, stddev_samp(value) AS sd FROM V WHERE ai GROUP BY ALL HAVING count(*) >= 2)
+SELECT metric, round(stddev_samp(mean), 6) AS between_sd, round(avg(sd), 6) AS within_sd, round(min(mean), 6) AS min_mean, round(max(mean), 6) AS max_mean, round(stddev_samp(mean)/nullif(avg(sd), 0), 6) AS ratio FROM E GROUP BY metric""")
+def model_dispersion(spark: SparkSession, d: str) -> DataFrame:
+    return compare.dispersion(_models(spark, d)).select("metric", *_r("between_sd", "within_sd", "min_mean", "max_mean", "ratio"))
+
+
+_RATIO = "CASE WHEN count(sd) = count(*) AND avg(sd) > 0 THEN stddev_samp(mean)/avg(sd) END"
+
+
+@query(f"WITH {S.LONG}, E AS (SELECT metric, source, avg(value) AS mean, stddev_samp(value) AS sd FROM V WHERE ai GROUP BY ALL) SELECT metric, round({_RATIO}, 6) AS ratio FROM E GROUP BY metric")
+def feature_ratio_rhythm(spark: SparkSession, d: str) -> DataFrame:
+    return compare.ratio(_models(spark, d), "metric").select("metric", *_r("ratio"))
+
+
+def _model_words(spark: SparkSession, d: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """Words of the models' documents found in at least ``least`` of them, and the models' sizes."""
+    words = _words(spark, d).where(F.col("source").isin(MODELS)).withColumnRenamed("source", "model")
+    rows = lexical.incidence(words, "model")
+    often = rows.groupBy("word").count().where(F.col("count") >= least)
+    return rows.join(often, "word", "left_semi"), words.groupBy("model").agg(F.count("*").alias("n"))
+
+
+_MODEL_WORDS = f"""{S.WORDS}, MI AS (SELECT doc_id, source AS model, word FROM I WHERE source IN {S.MODELS}), MN AS (SELECT source AS model, count(*) AS n FROM W WHERE source IN {S.MODELS} GROUP BY ALL)"""
+
+
+def _word_ratio(rows: str, sizes: str, least: int) -> str:
+    return f"""SELECT word, docs, {_RATIO} AS ratio FROM (SELECT word, docs, coalesce(k, 0)/n AS mean, CASE WHEN n > 1 THEN sqrt(coalesce(k, 0)/n*(1-coalesce(k, 0)/n)*n/(n-1)) END AS sd FROM
+ (SELECT word, count(*) AS docs FROM {rows} GROUP BY word HAVING count(*) >= {least}) CROSS JOIN {sizes} LEFT JOIN (SELECT word, model, count(*) AS k FROM {rows} GROUP BY ALL) USING (word, model)) GROUP BY word, docs"""
+
+
+@query(f"WITH {_MODEL_WORDS} SELECT word, docs, round(ratio, 6) AS ratio FROM ({_word_ratio('MI', 'MN', 10)})")
+def feature_ratio_words(spark: SparkSession, d: str) -> DataFrame:
+    rows, sizes = _model_words(spark, d, 10)
+    return compare.word_ratio(rows, sizes).select("word", "docs", *_r("ratio"))
+
+
+@query(f"""WITH {S.LONG}, G AS (SELECT range AS rep FROM range({REPS})), MD AS (SELECT doc_id, source AS model FROM documents WHERE source IN {S.MODELS}), FX AS (SELECT model, row_number() OVER (ORDER BY model, doc_id) AS nth FROM MD),
+SH AS (SELECT rep, doc_id, row_number() OVER (PARTITION BY rep ORDER BY {S.index(f"'{SEED}:' || rep || ':' || doc_id")}, doc_id) AS nth FROM MD, G),
+SL AS (SELECT rep, doc_id, model FROM SH JOIN FX USING (nth)),
+N1 AS (SELECT metric, rep, model, avg(value) AS mean, stddev_samp(value) AS sd FROM V JOIN SL USING (doc_id) WHERE ai GROUP BY ALL), N2 AS (SELECT metric, rep, {_RATIO} AS ratio FROM N1 GROUP BY ALL),
+O1 AS (SELECT metric, source, avg(value) AS mean, stddev_samp(value) AS sd FROM V WHERE ai GROUP BY ALL), O2 AS (SELECT metric, {_RATIO} AS o FROM O1 GROUP BY metric)
+SELECT metric, round(o, 6) AS ratio, round(CASE WHEN o IS NOT NULL THEN (count(*) FILTER (ratio >= o) + 1)/(count(*) + 1) END, 6) AS perm_p, round((o - avg(ratio))/nullif(stddev_samp(ratio), 0), 5) AS perm_z FROM O2 JOIN N2 USING (metric) GROUP BY metric, o""")
+def permutation_ratio_p(spark: SparkSession, d: str) -> DataFrame:
+    rows = _models(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet").where(F.col("source").isin(MODELS)).select("doc_id", F.col("source").alias("model"))
+    null = compare.ratio(rows.drop("model").join(compare.shuffled_labels(docs, REPS, SEED), "doc_id"), "metric", "rep")
+    out = compare.permutation(compare.ratio(rows, "metric"), null, "metric")
+    return out.select("metric", *_r("ratio", "perm_p"), F.round("perm_z", 5).alias("perm_z"))
+
+
+@query(f"""WITH {S.LONG}, {_MODEL_WORDS}, E AS (SELECT metric, source, avg(value) AS mean, stddev_samp(value) AS sd FROM V WHERE ai GROUP BY ALL), RR AS (SELECT metric, {_RATIO} AS ratio FROM E GROUP BY metric),
+WR AS ({_word_ratio('MI', 'MN', 10)}), X0 AS (SELECT 'all' AS comparison, true AS lexical, round(ratio, 9) AS value FROM WR WHERE ratio IS NOT NULL UNION ALL SELECT 'min20', true, round(ratio, 9) FROM WR WHERE ratio IS NOT NULL AND docs >= 20
+ UNION ALL SELECT c, false, round(ratio, 9) FROM RR, (SELECT unnest(['all', 'min20']) AS c) WHERE ratio IS NOT NULL)
+SELECT comparison, n1, n0, {_sql_r('u', 'p_value', 'rank_biserial')} FROM ({S.mann_whitney('X0', 'lexical', 'comparison')})""")
+def lex_vs_rhythm_utest(spark: SparkSession, d: str) -> DataFrame:
+    rows, sizes = _model_words(spark, d, 10)
+    words = compare.word_ratio(rows, sizes).where("ratio is not null").select("docs", F.lit(True).alias("lexical"), F.round("ratio", 9).alias("value"))
+    metrics = compare.ratio(_models(spark, d), "metric").where("ratio is not null").select(F.lit(None).cast("long").alias("docs"), F.lit(False).alias("lexical"), F.round("ratio", 9).alias("value"))
+    both = words.unionByName(metrics)
+    every = both.withColumn("comparison", F.lit("all")).unionByName(both.where("docs is null or docs >= 20").withColumn("comparison", F.lit("min20")))
+    return compare.mann_whitney(every, "lexical", "comparison").select("comparison", "n1", "n0", *_r("u", "p_value", "rank_biserial"))
+
+
+# Cross-validation on labels.quality
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("y"))
+
+
+_FOLDS = f"""LB AS (SELECT doc_id, quality = 1 AS yq FROM labels), FD AS (SELECT rp AS repeat, doc_id, yq, (row_number() OVER (PARTITION BY rp, yq ORDER BY {S.index(f"'{SEED}:' || rp || ':' || doc_id")}, doc_id) - 1) % {K} AS own FROM LB, (SELECT range AS rp FROM range(2))),
+TR AS (SELECT repeat, fd AS fold, doc_id, yq FROM FD, (SELECT range AS fd FROM range({K})) WHERE own <> fd)"""
+
+
+@query(f"WITH {_FOLDS} SELECT repeat, doc_id, yq AS y, own AS fold FROM FD")
+def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
+    return classify.folds(_labels(spark, d), "y", 2, K, SEED)
+
+
+@query(f"""WITH {S.WORDS}, {_FOLDS}, SZ AS (SELECT repeat, fold, count(*) FILTER (yq) AS n1, count(*) FILTER (NOT yq) AS n0 FROM TR GROUP BY ALL),
+KA AS (SELECT repeat, fold, word, count(*) FILTER (yq) AS a, count(*) FILTER (NOT yq) AS c FROM TR JOIN I USING (doc_id) GROUP BY ALL),
+KB AS (SELECT KA.*, n1, n0, {S.yates('a', 'c', 'n1', 'n0')} AS chi2 FROM KA JOIN SZ USING (repeat, fold) WHERE a + c >= 5 AND a + c <= n1 + n0 - 5),
+KC AS (SELECT *, coalesce({S.erfc('sqrt(chi2/2)')}, 1.0) AS p, count(*) OVER (PARTITION BY repeat, fold) AS m FROM KB), KD AS (SELECT *, row_number() OVER (PARTITION BY repeat, fold ORDER BY p, word) AS rn FROM KC),
+KE AS (SELECT *, least(1.0, min(p*m/rn) OVER (PARTITION BY repeat, fold ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM KD)
+SELECT repeat, fold, word, a, c, round(chi2, 6) AS chi2 FROM KE WHERE q <= 0.05""")
+def fold_word_selection(spark: SparkSession, d: str) -> DataFrame:
+    train = classify.training(classify.folds(_labels(spark, d), "y", 2, K, SEED), K)
+    return classify.select_words(train, lexical.incidence(_words(spark, d)), "y").withColumn("chi2", F.round("chi2", 6))
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    rows = _metrics(spark, d).select("doc_id", *(F.round(n, 6).alias(n) for n in S.NAMES))
+    return rows.unpivot(["doc_id"], list(S.NAMES), "metric", "value")
+
+
+_VALUES = "VA AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS metric, round({n}, 6) AS value FROM M" for n in S.NAMES) + ")"
+
+
+@query(f"""WITH {S.METRICS}, {_VALUES}, {_FOLDS}, TV AS (SELECT repeat, fold, metric, value, median(value) OVER (PARTITION BY repeat, fold, metric) AS md FROM TR JOIN VA USING (doc_id))
+SELECT repeat, fold, metric, round(md, 6) AS median, round(avg(coalesce(value, md)), 6) AS mean, round(CASE WHEN stddev_pop(coalesce(value, md)) > 0 THEN stddev_pop(coalesce(value, md)) ELSE 1 END, 6) AS sd FROM TV GROUP BY repeat, fold, metric, md""")
+def fold_impute_zscore(spark: SparkSession, d: str) -> DataFrame:
+    train = classify.training(classify.folds(_labels(spark, d), "y", 2, K, SEED), K)
+    return classify.scaling(train, _values(spark, d)).select("repeat", "fold", "metric", *_r("median", "mean", "sd"))
+
+
+_DET = "nullif(v11*v22 - v12*v12, 0)"
+
+
+@query(f"""WITH {S.METRICS}, {_VALUES}, {_FOLDS}, CV AS (SELECT doc_id, ln(1+n_sentences) AS x1, ln(1+n_paragraphs) AS x2 FROM M),
+RM AS (SELECT repeat, fold, metric, avg(x1) AS m1, avg(x2) AS m2, avg(value) AS my, covar_pop(x1, x1) AS v11, covar_pop(x2, x2) AS v22, covar_pop(x1, x2) AS v12, covar_pop(x1, value) AS v1y, covar_pop(x2, value) AS v2y FROM TR JOIN VA USING (doc_id) JOIN CV USING (doc_id) WHERE value IS NOT NULL GROUP BY ALL),
+RC AS (SELECT *, (v1y*v22 - v2y*v12)/{_DET} AS b1, (v2y*v11 - v1y*v12)/{_DET} AS b2 FROM RM) SELECT repeat, fold, metric, round(b1, 5) AS b1, round(b2, 5) AS b2, round(my - b1*m1 - b2*m2, 5) AS b0 FROM RC""")
+def length_residuals(spark: SparkSession, d: str) -> DataFrame:
+    train = classify.training(classify.folds(_labels(spark, d), "y", 2, K, SEED), K)
+    lengths = _metrics(spark, d).select("doc_id", F.log1p("n_sentences").alias("x1"), F.log1p("n_paragraphs").alias("x2"))
+    out = classify.residual_model(train, _values(spark, d), lengths)
+    return out.select("repeat", "fold", "metric", *(F.round(b, 5).alias(b) for b in ("b1", "b2", "b0")))
+
+
+def _fold_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of every (condition, feature set, repeat, fold): selected words, scaled metrics, both, and length alone."""
+    assigned = classify.folds(_labels(spark, d), "y", 1, K, SEED)
+    train = classify.training(assigned, K)
+    use = assigned.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(K - 1)))).withColumn("test", F.col("own") == F.col("fold")).drop("own")
+    words = lexical.incidence(_words(spark, d))
+    chosen = words.join(classify.select_words(train, words, "y").select("repeat", "fold", "word"), "word").select("repeat", "fold", "doc_id", F.concat(F.lit("w:"), "word").alias("feature"), F.lit(1.0).alias("value"))
+    values = _values(spark, d)
+    scaled = values.join(classify.scaling(train, values), "metric")
+    z = (F.coalesce("value", "median") - F.col("mean")) / F.col("sd")
+    rhythm_rows = scaled.select("repeat", "fold", "doc_id", F.concat(F.lit("m:"), "metric").alias("feature"), F.coalesce(z, F.lit(0.0)).alias("value"))
+    lengths = _metrics(spark, d).select("doc_id", F.log1p("n_sentences").alias("x1"), F.log1p("n_paragraphs").alias("x2"))
+    model = classify.residual_model(train, values, lengths)
+    adjusted = values.join(lengths, "doc_id").join(model, "metric").join(classify.scaling(train, values), ["repeat", "fold", "metric"])
+    rest = (F.coalesce("value", "median") - F.coalesce(F.col("b0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2"), F.col("mean"))) / F.col("sd")
+    rest_rows = adjusted.select("repeat", "fold", "doc_id", F.concat(F.lit("m:"), "metric").alias("feature"), F.coalesce(rest, F.lit(0.0)).alias("value"))
+    length_rows = lengths.unpivot(["doc_id"], ["x1", "x2"], "feature", "value").withColumn("value", F.col("value").cast("double")).join(use.select("repeat", "fold", "doc_id"), "doc_id").select("repeat", "fold", "doc_id", "feature", "value")
+    sets = [("main", "lexical", chosen), ("main", "rhythm", rhythm_rows), ("main", "combined", chosen.union(rhythm_rows)), ("lenadj", "rhythm", rest_rows), ("lenadj", "length_only", length_rows)]
+    out = None
+    for condition, name, rows in sets:
+        one = use.join(rows, ["repeat", "fold", "doc_id"], "left").select(F.lit(condition).alias("condition"), F.lit(name).alias("features"), "repeat", "fold", "doc_id", F.col("y").cast("int").alias("y"), "test", "feature", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def h1_auc_folds(spark: SparkSession, d: str) -> DataFrame:
+    return classify.fold_auc(_fold_features(spark, d))
+
+
+@query()
+def h1_auc_summary(spark: SparkSession, d: str) -> DataFrame:
+    return classify.auc_summary(h1_auc_folds(spark, d), 1000, SEED)
+
+
+@query()
+def h1_auc_diffs(spark: SparkSession, d: str) -> DataFrame:
+    return classify.auc_differences(h1_auc_folds(spark, d), [("rhythm", "lexical"), ("combined", "lexical"), ("rhythm", "length_only")])
+
+
+@query()
+def model_id_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the seven models wrote a document, from its scaled rhythm metrics."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where(F.col("source").isin(MODELS)).select("doc_id", F.col("source").alias("model"))
+    assigned = classify.folds(docs, "model", 1, K, SEED)
+    train = classify.training(assigned, K)
+    use = assigned.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(K - 1)))).withColumn("test", F.col("own") == F.col("fold"))
+    values = _values(spark, d)
+    scaled = values.join(classify.scaling(train, values), "metric")
+    z = F.coalesce((F.coalesce("value", "median") - F.col("mean")) / F.col("sd"), F.lit(0.0))
+    rows = scaled.select("repeat", "fold", "doc_id", F.col("metric").alias("feature"), z.alias("value"))
+    code = F.array_position(F.array(*map(F.lit, MODELS)), F.col("model")).cast("int") - 1
+    both = use.withColumn("y", code).join(rows, ["repeat", "fold", "doc_id"], "left").select(F.lit("rhythm").alias("features"), "repeat", "fold", "doc_id", "y", "test", "feature", "value")
+    return classify.fold_accuracy(both, len(MODELS))
+
+
+@query()
+def model_id_summary(spark: SparkSession, d: str) -> DataFrame:
+    return model_id_folds(spark, d).groupBy("features").agg(F.avg("accuracy").alias("acc_mean"), F.stddev_samp("accuracy").alias("acc_sd"), F.avg("macro_f1").alias("f1_mean"), F.stddev_samp("macro_f1").alias("f1_sd"))
