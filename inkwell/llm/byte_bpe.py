@@ -20,7 +20,7 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 
 BUCKETS = 1 << 16
 #: The pieces kept for all documents: at most so many, counted over one document in SAMPLE.
-COMMON, SAMPLE = 1 << 18, 16
+COMMON, SAMPLE = 1 << 19, 4
 _NONE = (1 << 31) - 1
 #: The splitting pattern of byte-level vocabularies, with white space (Unicode White_Space) written out.
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -68,6 +68,10 @@ def _find(buckets: Column, text: Column, size: int) -> Column:
     return F.try_element_at(F.get(buckets, (F.crc32(text.cast("binary")) % size).cast("int")), text)
 
 
+def _held(buckets: Column, piece: Column) -> Column:
+    return F.try_element_at(F.get(buckets, F.pmod(F.hash(piece), F.lit(BUCKETS))), piece)
+
+
 def fold(ranks: Column, piece: Column) -> Column:
     """Ids of a piece: its own rank if it has one, else a fold of merges over its bytes."""
     text = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
@@ -77,18 +81,27 @@ def fold(ranks: Column, piece: Column) -> Column:
         parts = F.split(text, r"(?!\z)")
         pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: rank(F.substring(text, i, F.lit(2))))
 
+        def merged(left: Column, score: Column, place: Column) -> Column:
+            none = F.array().cast("array<int>")
+
+            def around(joined: Column) -> Column:
+                before = F.when(place > 1, F.array(rank(F.concat(F.get(left, place - 2), joined)))).otherwise(none)
+                after = F.when(place < F.size(score), F.array(rank(F.concat(joined, F.get(left, place + 1))))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(left, F.lit(1), place - 1), F.array(joined), F.slice(left, place + 2, F.size(left))).alias("parts"),
+                    F.concat(F.slice(score, F.lit(1), F.greatest(place - 2, F.lit(0))), before, after, F.slice(score, place + 2, F.size(score))).alias("ranks"),
+                )
+
+            return _let(F.concat(F.get(left, place - 1), F.get(left, place)), around)
+
         def step(at: Column, _: Column) -> Column:
             left, score = at["parts"], at["ranks"]
-            place = F.array_position(score, F.array_min(score)).cast("int")
-            joined = F.concat(F.get(left, place - 1), F.get(left, place))
-            none = F.array().cast("array<int>")
-            before = F.when(place > 1, F.array(rank(F.concat(F.get(left, place - 2), joined)))).otherwise(none)
-            after = F.when(place < F.size(score), F.array(rank(F.concat(joined, F.get(left, place + 1))))).otherwise(none)
-            merged = F.struct(
-                F.concat(F.slice(left, F.lit(1), place - 1), F.array(joined), F.slice(left, place + 2, F.size(left))).alias("parts"),
-                F.concat(F.slice(score, F.lit(1), F.greatest(place - 2, F.lit(0))), before, after, F.slice(score, place + 2, F.size(score))).alias("ranks"),
-            )
-            return F.when(F.coalesce(F.array_min(score), F.lit(_NONE)) == _NONE, at).otherwise(merged)
+
+            def with_low(low: Column) -> Column:
+                found = _let(F.array_position(score, low).cast("int"), lambda place: merged(left, score, place))
+                return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, at).otherwise(found)
+
+            return _let(F.array_min(score), with_low)
 
         done = F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), F.struct(parts.alias("parts"), pairs.alias("ranks")), step)
         return F.transform(done["parts"], lambda p: _find(ranks, p, BUCKETS))
@@ -107,10 +120,10 @@ def _common(docs: DataFrame, ranks: Column) -> Column:
     first = counts.where("count > 1").orderBy(F.desc("count"), "piece").limit(COMMON)
     spread = first.repartition(docs.sparkSession.sparkContext.defaultParallelism, "piece")
     folded = spread.select("piece", fold(ranks, F.col("piece")).alias("ids"))
-    bucket = (F.crc32(F.col("piece").cast("binary")) % BUCKETS).alias("bucket")
+    bucket = F.pmod(F.hash("piece"), F.lit(BUCKETS)).alias("bucket")
     grouped = folded.groupBy(bucket).agg(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))).alias("entries"))
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(grouped, "bucket", "left")
-    listed = F.array_sort(F.collect_list(F.struct("bucket", "entries")), lambda a, b: (a["bucket"] - b["bucket"]).cast("int"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(grouped, "bucket", "left")
+    listed = F.array_sort(F.collect_list(F.struct("bucket", "entries")), lambda a, b: a["bucket"] - b["bucket"])
     return literal(every.agg(F.transform(listed, lambda b: b["entries"]).alias("common")))
 
 
@@ -123,7 +136,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     ready = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rank = rank_map(docs.sparkSession, ranks)
     common = _common(ready, rank)
-    ids = F.flatten(F.transform(pieces(F.col("text")), lambda p: F.coalesce(_find(common, p, BUCKETS), fold(rank, p))))
+    ids = F.flatten(F.transform(pieces(F.col("text")), lambda p: F.coalesce(_held(common, p), fold(rank, p))))
     return ready.select("doc_id", ids.alias("ids"))
 
 
