@@ -53,7 +53,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.host_rules import host_rules
 
-    return host_rules(table(spark, sf_dir, "documents"))
+    return host_rules(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_host_rules": r"""
+WITH W AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+P AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 6, 1))) AS i, w FROM W),
+D AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+7], ' ')) AS times FROM P),
+R AS (SELECT doc_id, count(DISTINCT spot) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS spot FROM D WHERE times > 1) GROUP BY doc_id),
+C AS (SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM W),
+B AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS r FROM C LEFT JOIN R USING (doc_id)),
+F AS (SELECT *, n_words < 20 OR 100*r > 30*n_words AS base_failed FROM B),
+H AS (SELECT source AS host, count(*) AS docs, count(*) FILTER (base_failed OR 100*n_symbols > 100*n_words OR 100*n_dup_lines > 30*len(lines)) AS failed FROM F GROUP BY source),
+M AS (SELECT (sum(failed) + 0.5)/(sum(docs) + 1) AS m, var_pop(failed/docs) AS v FROM H),
+S AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m*(1-m)/v - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM M),
+V AS (SELECT H.*, (failed + m*s)/(docs + s) AS rate FROM H, S)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, r AS n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, docs, failed, round(rate, 9) AS rate
+FROM F JOIN V ON F.source IS NOT DISTINCT FROM V.host""",
+}
