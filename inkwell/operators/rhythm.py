@@ -16,9 +16,12 @@ METRICS = (
 
 def sentence_table(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """doc_id, para_no, sent_no (in the document), text, is_list."""
-    parsed = docs.select("doc_id", F.posexplode(text.paragraphs(F.col("text"), profile)).alias("para", "sentences"))
-    flat = docs.select("doc_id", text.paragraphs(F.col("text"), profile).alias("paras")).select("doc_id", F.flatten(F.transform("paras", lambda p, i: F.transform(p, lambda s: F.struct((i + 1).alias("para_no"), s["text"].alias("text"), s["is_list"].alias("is_list"))))).alias("all"))
-    del parsed
+
+    def numbered(sentences, i):
+        return F.transform(sentences, lambda s: F.struct((i + 1).alias("para_no"), s["text"].alias("text"), s["is_list"].alias("is_list")))
+
+    parsed = docs.select("doc_id", text.paragraphs(F.col("text"), profile).alias("paras"))
+    flat = parsed.select("doc_id", F.flatten(F.transform("paras", numbered)).alias("all"))
     return flat.select("doc_id", F.posexplode("all").alias("at", "s")).select("doc_id", F.col("s.para_no").alias("para_no"), (F.col("at") + 1).alias("sent_no"), "s.text", "s.is_list")
 
 
