@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -122,6 +123,32 @@ class PieceEncoder:
         return self.pool[take], np.concatenate([[0], ends])[bounds]
 
 
+class AddedTokenEncoder(PieceEncoder):
+    """A PieceEncoder that first cuts texts at the tokenizer's added tokens (bytes to id), as Tokenizer.encode does."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], mapping: np.ndarray, added: dict[bytes, int]) -> None:
+        super().__init__(encode, mapping)
+        self.added = added
+        self.pattern = re.compile(b"|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)))  # the longest at a place
+
+    def chunk_ids(self, chunk: vectext.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        raw = chunk.data.tobytes()
+        if not any(x in raw for x in self.added):
+            return super().chunk_ids(chunk)
+        texts = zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)
+        hits = [m for a, b in texts for m in self.pattern.finditer(raw, a, b)]
+        spans = np.array([m.span() for m in hits], np.int64).reshape(-1, 2)
+        cut = np.unique(np.concatenate([chunk.bounds, spans.ravel()]))
+        ids, bounds = super().chunk_ids(vectext.Chunk(chunk.first, chunk.data, cut))
+        own = np.searchsorted(cut, spans[:, 0])
+        keep = np.ones(len(ids), bool)
+        for k in own.tolist():
+            keep[bounds[k] + 1 : bounds[k + 1]] = False
+        ids[bounds[own]] = [self.added[m.group()] for m in hits]
+        ends = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        return ids[keep], ends[np.searchsorted(cut, chunk.bounds)]
+
+
 def byte_letters() -> np.ndarray:
     """The code points by which byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -139,3 +166,17 @@ def library_encoder(file: str) -> PieceEncoder:
 
     model = Tokenizer.from_file(file).model
     return PieceEncoder(lambda texts: [[t.id for t in model.tokenize(x)] for x in texts], byte_letters())
+
+
+@functools.cache
+def full_encoder(file: str) -> PieceEncoder:
+    """The ids of Tokenizer.encode without a post-processor: as library_encoder, and added tokens' strings give their ids."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    added = tokenizer.get_added_tokens_decoder()
+    if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+        raise ValueError(f"{file}: added tokens that depend on their surroundings are not supported")
+    plain = library_encoder(file)
+    spelled = {t.content.encode(): i for i, t in added.items()}
+    return AddedTokenEncoder(plain.encode, plain.mapping, spelled) if spelled else plain

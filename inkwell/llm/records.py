@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import vectext
 from inkwell.llm.common import new_folder, partitions
-from inkwell.llm.pretoken import library_encoder
+from inkwell.llm.pretoken import full_encoder
 
 #: Fixed values of CRC-32C and of the mask that record files put on it.
 POLYNOMIAL = 0x82F63B78
@@ -143,7 +143,7 @@ def read_records(files: pafs.FileSystem, path: str, order: Iterable[int] | None
 
 def _writer(folder: str, vocabulary: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary)
+        encoder = full_encoder(vocabulary)
         files, root = pafs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"{root}/part-{shard:06d}-{uuid.uuid4().hex}"  # an attempt's own; only those that the driver is told count
