@@ -319,7 +319,7 @@ KE AS (SELECT *, least(1.0, min(p*m/rn) OVER (PARTITION BY repeat, fold ORDER BY
 SELECT repeat, fold, word, a, c, round(chi2, 6) AS chi2 FROM KE WHERE q <= 0.05""")
 def fold_word_selection(spark: SparkSession, d: str) -> DataFrame:
     train = classify.training(classify.folds(_labels(spark, d), "y", 2, K, SEED), K)
-    return classify.select_words(train, lexical.incidence(_words(spark, d)), "y").withColumn("chi2", F.round("chi2", 6))
+    return classify.select_words(train, lexical.incidence(_words(spark, d)), "y", fallback=0).withColumn("chi2", F.round("chi2", 6))
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
