@@ -49,9 +49,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text: doc_id, n_tokens, ids."""
+    """Token ids of each text, and the digest of the bytes they decode to: doc_id, n_tokens, ids, decoded_sha256."""
     coded = byte_bpe.encode(docs, byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

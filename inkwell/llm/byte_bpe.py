@@ -1,30 +1,42 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-A piece of text is held as a string with one character for each of its UTF-8 bytes (ISO 8859-1). Its ids come from a
-fold over its bytes: at each step the leftmost pair of lowest rank is merged. Ranks are looked up in a literal map, cut
-into buckets by crc32 so that a lookup doesn't search the whole of it. Distinct pieces are folded once: the commonest
-ones of a hash sample of the documents, a bounded number, come first and serve all documents as a second literal map;
-a piece that isn't among them is folded where it stands, so results don't depend on the sample. Decoding concatenates
-the bytes of the ids.
+"""Byte-level BPE encoding and decoding: ranked merges of distinct words, folded by Spark's higher-order functions.
+
+Texts are cut into pieces, and each distinct piece of the corpus is folded once: its bytes become an array of ids, and a
+fold merges the leftmost adjacent pair of lowest rank until none is left. Ranks of pairs of ids are a literal map, cut
+into buckets. The ids then go back to the documents. The commonest pieces, of at most ``COMMON_BYTES`` together, go to
+all tasks; a document's other pieces are joined by key and filled into the holes that they left, in parts of about
+``PART_BYTES`` of text. Decoding concatenates the bytes of the ids.
+
+A piece above ``LONG`` bytes is folded in windows that overlap by half. Two windows are joined at a token that stands at
+the same place in both: a sequence of tokens is the encoding of its bytes exactly if each neighbouring pair is, and all
+pairs left and right of that token come from one window. Where two windows share no token, the piece is cut into windows
+twice as large, up to the whole piece. So work on a piece grows with its length, and only where it never falls into step
+with its square.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import zlib
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.classic.column import Column as ClassicColumn
 
-BUCKETS = 1 << 16
-#: The pieces kept for all documents: at most so many, counted over one document in SAMPLE.
-COMMON, SAMPLE = 1 << 19, 4
-_NONE = (1 << 31) - 1
-#: The splitting pattern of byte-level vocabularies, with white space (Unicode White_Space) written out.
-_SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+from inkwell.llm import vectext
+from inkwell.llm.common import new_folder, partitions
+from inkwell.llm.pretoken import pieces
+
+LONG = 128
+COMMON_BYTES, PART_BYTES, CHUNK = 24 << 20, 8 << 20, 1 << 22
+BUCKETS = 1 << 17
+_FACTOR, _SHIFT = 81007, 9  # of the hash that deals pairs over the buckets
+_ID_BITS = 20
+_NO_ID, _NO_RANK = (1 << _ID_BITS) - 1, (1 << 31) - 1
+_HOLE = np.uint32(0xFFFFFFFF)
 
 
 @functools.cache
@@ -33,122 +45,418 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def literal(frame: DataFrame) -> Column:
-    """The array in the only row and column of ``frame`` as a literal.
-
-    Unlike lit() this holds one binary value instead of an expression for each element, so that plans stay small.
-    """
-    jvm, plan = frame.sparkSession._jvm, frame._jdf.queryExecution().executedPlan()
-    value = plan.executeCollect()[0].getArray(0)
-    held = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, frame._jdf.schema().apply(0).dataType())
-    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(held))
-
-
-def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """Ranks by piece, in buckets, as a literal."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return literal(spark.createDataFrame([(buckets,)], "ranks array<map<string,int>>"))
-
-
-def hex_by_id(spark: SparkSession, pieces: dict[int, bytes]) -> Column:
-    """Hex of bytes by id, as a literal array."""
-    listed = [pieces.get(i, b"").hex() for i in range(max(pieces) + 1)]
-    return literal(spark.createDataFrame([(listed,)], "pieces array<string>"))
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _find(buckets: Column, text: Column, size: int) -> Column:
-    return F.try_element_at(F.get(buckets, (F.crc32(text.cast("binary")) % size).cast("int")), text)
-
-
-def _held(buckets: Column, piece: Column) -> Column:
-    return F.try_element_at(F.get(buckets, F.pmod(F.hash(piece), F.lit(BUCKETS))), piece)
-
-
-def fold(ranks: Column, piece: Column) -> Column:
-    """Ids of a piece: its own rank if it has one, else a fold of merges over its bytes."""
-    text = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
-    rank = lambda x: F.coalesce(_find(ranks, x, BUCKETS), F.lit(_NONE))
-
-    def merges(text: Column) -> Column:
-        parts = F.split(text, r"(?!\z)")
-        pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: rank(F.substring(text, i, F.lit(2))))
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The rank of each pair of ids whose bytes together are a piece of the vocabulary: buckets of maps, as a literal."""
+    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                pair = (left << 16) + right
+                buckets[(pair * _FACTOR >> _SHIFT) & (BUCKETS - 1)][pair] = rank
+    return spark.createDataFrame([(buckets,)], "ranks array<map<bigint,int>>").scalar()
 
-        def merged(left: Column, score: Column, place: Column) -> Column:
-            none = F.array().cast("array<int>")
 
-            def around(joined: Column) -> Column:
-                before = F.when(place > 1, F.array(rank(F.concat(F.get(left, place - 2), joined)))).otherwise(none)
-                after = F.when(place < F.size(score), F.array(rank(F.concat(joined, F.get(left, place + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(left, F.lit(1), place - 1), F.array(joined), F.slice(left, place + 2, F.size(left))).alias("parts"),
-                    F.concat(F.slice(score, F.lit(1), F.greatest(place - 2, F.lit(0))), before, after, F.slice(score, place + 2, F.size(score))).alias("ranks"),
-                )
+def _fold(ranks: Column, piece: Column, singles: list[int]) -> Column:
+    """Ids of a binary column. An element of the folded array is (rank of the pair with the next element, id)."""
 
-            return _let(F.concat(F.get(left, place - 1), F.get(left, place)), around)
+    def rank(a: Column, b: Column) -> Column:
+        bucket = lambda pair: F.get(ranks, F.shiftright(pair * _FACTOR, _SHIFT).bitwiseAND(BUCKETS - 1).cast("int"))
+        return _let(F.shiftleft(a, 16) + b, lambda pair: F.coalesce(F.try_element_at(bucket(pair), pair), F.lit(_NO_RANK)))
 
-        def step(at: Column, _: Column) -> Column:
-            left, score = at["parts"], at["ranks"]
+    id_of = lambda x: x.bitwiseAND(_NO_ID)
+    packed = lambda r, i: F.shiftleft(r.cast("bigint"), _ID_BITS) + i
+    of_byte = F.split(F.lit(",".join(map(str, singles))), ",").cast("array<bigint>")
+    one_by_one = F.transform(F.split(F.decode(piece, "ISO-8859-1"), ""), lambda c: F.get(of_byte, F.ascii(c)))
 
-            def with_low(low: Column) -> Column:
-                found = _let(F.array_position(score, low).cast("int"), lambda place: merged(left, score, place))
-                return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, at).otherwise(found)
+    def begin(ids: Column) -> Column:
+        edge = F.array(F.lit((_NO_RANK << _ID_BITS) + _NO_ID))  # spares a case for the first id
+        return F.concat(edge, F.transform(ids, lambda x, i: packed(F.coalesce(rank(x, F.get(ids, i + 1)), F.lit(_NO_RANK)), x)))
 
-            return _let(F.array_min(score), with_low)
+    def merged(now: Column, new: Column, place: Column) -> Column:
+        after = id_of(F.coalesce(F.get(now, place + 1), F.lit(_NO_ID)))
+        put = lambda x, j: F.when(j == place - 1, packed(rank(new, after), new)).when(j == place - 2, packed(rank(id_of(x), new), id_of(x))).otherwise(x)
+        return F.transform(F.filter(now, lambda _, j: j != place), put)
 
-        done = F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), F.struct(parts.alias("parts"), pairs.alias("ranks")), step)
-        return F.transform(done["parts"], lambda p: _find(ranks, p, BUCKETS))
+    def step(now: Column, _: Column) -> Column:
+        low = lambda least: F.when(least >= (_NO_RANK << _ID_BITS), now).otherwise(_let(F.array_position(now, least).cast("int"), lambda place: merged(now, F.shiftright(least, _ID_BITS), place)))
+        return _let(F.array_min(now), low)
 
-    return _let(text, lambda t: _let(_find(ranks, t, BUCKETS), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(merges(t))))
+    def all_steps(ids: Column) -> Column:
+        done = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ids), F.lit(2))), begin(ids), step)
+        return F.transform(F.slice(done, F.lit(2), F.size(ids)), lambda x: id_of(x).cast("int"))
 
+    return F.when(F.octet_length(piece) == 0, F.array().cast("array<int>")).otherwise(_let(one_by_one, all_steps))
 
-def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
+def fold(frame: DataFrame, piece: str, ranks: dict[bytes, int], spare: Column | None = None) -> DataFrame:
+    """``frame`` with the ids of its binary column ``piece`` (null where ``spare`` holds).
 
-def _common(docs: DataFrame, ranks: Column) -> Column:
-    """Buckets of (piece to ids) of the commonest pieces, as a literal array."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    counts = some.select(F.explode(pieces(F.col("text"))).alias("piece")).groupBy("piece").count()
-    first = counts.where("count > 1").orderBy(F.desc("count"), "piece").limit(COMMON)
-    spread = first.repartition(docs.sparkSession.sparkContext.defaultParallelism, "piece")
-    folded = spread.select("piece", fold(ranks, F.col("piece")).alias("ids"))
-    bucket = F.pmod(F.hash("piece"), F.lit(BUCKETS)).alias("bucket")
-    grouped = folded.groupBy(bucket).agg(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))).alias("entries"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(grouped, "bucket", "left")
-    listed = F.array_sort(F.collect_list(F.struct("bucket", "entries")), lambda a, b: a["bucket"] - b["bucket"])
-    return literal(every.agg(F.transform(listed, lambda b: b["entries"]).alias("common")))
+    Work on a piece grows with the square of its length. The rank of a merge is the id that it makes.
+    """
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("the map of pairs holds ids below 65,536")
+    singles = [ranks[bytes([i])] for i in range(256)]
+    with_ranks = frame.withColumn("_ranks", rank_map(frame.sparkSession, ranks))  # inlined: _ranks stands below once
+    one = _let(F.col("_ranks"), lambda table: _fold(table, F.col(piece), singles))
+    return with_ranks.withColumn("ids", one if spare is None else F.when(~spare, one)).drop("_ranks")
+
+
+def binaries(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """An Arrow array of byte spans."""
+    length = end - start
+    ends = np.cumsum(length)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[place]))])
+
+
+def _hashes(found: list[bytes]) -> np.ndarray:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+    return vectext.span_hash(np.frombuffer(b"".join(found), np.uint8), bounds[:-1], bounds[1:])
+
+
+class PieceTable:
+    """Ids of pieces by their 64-bit hash (a hash that is 0 isn't found); slot -1 is a hole."""
+
+    def __init__(self, keys: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.lengths = np.append(lengths, 1).astype(np.int32)  # the last one is the hole's
+        self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
+        self.flat = np.append(flat.astype(np.uint32), _HOLE)
+        bits = int(3 * len(keys) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.key, self.slot = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, place = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.key[place] == 0)
+            spot, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            self.key[spot], self.slot[spot] = keys[left[put]], left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, place = left[rest], (place[rest] + 1) & self.mask
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        place = (key >> self.shift).astype(np.int64)
+        met = self.key[place]
+        out = np.where(met == key, self.slot[place], np.int32(-1))
+        todo = np.flatnonzero((met != key) & (met != 0))
+        place = place[todo]
+        while len(todo):
+            place = (place + 1) & self.mask
+            met = self.key[place]
+            hit = met == key[todo]
+            out[todo[hit]] = self.slot[place[hit]]
+            on = ~hit & (met != 0)
+            todo, place = todo[on], place[on]
+        return out
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of slots one after another, and where each slot's begin (a last entry closes them)."""
+        return _gathered(self.flat, self.starts[slots], self.lengths[slots])
+
+
+def _gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum(length, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    take = np.arange(total) + np.repeat(start - (ends - length), length)
+    return pool[take], np.concatenate([[0], ends])
+
+
+_tables: dict[str, PieceTable] = {}  # of a worker process: the table of its last broadcast
+
+
+def _table(held) -> PieceTable:
+    name, *arrays = held.value
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = PieceTable(*(np.frombuffer(x, t) for x, t in zip(arrays, ("<u8", "<i4", "<u4"), strict=True)))
+    return _tables[name]
+
+
+def _distinct(vocabulary: bytes):
+    """The pieces of each chunk of texts that aren't in the vocabulary, with how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.frombuffer(vocabulary, "<u8")
+        for batch in batches:
+            for chunk in vectext.chunks(batch.column(0), CHUNK):
+                cut, _ = pieces(chunk)
+                if len(cut) == 1:
+                    continue
+                key, first, n = np.unique(vectext.span_hash(chunk.data, cut[:-1], cut[1:]), return_index=True, return_counts=True)
+                new = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] != key
+                yield pa.RecordBatch.from_arrays([binaries(chunk.data, cut[first[new]], cut[first[new] + 1]), pa.array(n[new])], ["piece", "n"])
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _spliced(lengths: bytes):
+    """Ids of long pieces from those of their windows, which come in order; null where two windows share no token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.frombuffer(lengths, "<i4")
+        name, parts = None, []
+
+        def whole() -> list[int] | None:
+            out, begin = [], 0
+            for k, (at, ids) in enumerate(parts):
+                end = at + np.cumsum(size[ids])
+                start = end - size[ids]
+                use = start >= begin
+                if k + 1 < len(parts):
+                    later, other = parts[k + 1]
+                    stop = later + np.cumsum(size[other])
+                    both = np.intersect1d(start[use] * (1 << 10) + size[ids][use], (stop - size[other]) * (1 << 10) + size[other])
+                    if len(both) == 0:
+                        return None
+                    begin = int(both[len(both) // 2] >> 10)
+                    use &= start < begin
+                out.extend(ids[use].tolist())
+            return out
+
+        for batch in batches:
+            for key, at, ids in zip(batch.column("name").to_pylist(), batch.column("at").to_pylist(), batch.column("ids"), strict=True):
+                if key != name and parts:
+                    yield pa.RecordBatch.from_pydict({"name": [name], "ids": pa.array([whole()], pa.list_(pa.int32()))})
+                    parts = []
+                name = key
+                parts.append((at, ids.values.to_numpy()))
+        if parts:
+            yield pa.RecordBatch.from_pydict({"name": [name], "ids": pa.array([whole()], pa.list_(pa.int32()))})
+
+    return run
+
+
+def _fold_long(todo: DataFrame, ranks: dict[bytes, int], folder: str) -> DataFrame:
+    """(piece, n) -> (piece, ids, n) for long pieces, by windows. ``folder`` takes the rounds."""
+    spark = todo.sparkSession
+    size = np.zeros(max(ranks.values()) + 1, "<i4")
+    size[list(ranks.values())] = [len(x) for x in ranks]
+    todo = todo.select(F.sha2("piece", 256).alias("name"), "piece", "n")
+    done, width = None, LONG
+    while True:
+        half = width // 2
+        last = F.greatest(F.octet_length("piece") - half - 1, F.lit(0))
+        windows = F.transform(F.sequence(F.lit(0), last, F.lit(half)), lambda at: F.struct(at.alias("at"), F.substring(F.col("piece"), at + 1, F.lit(width)).alias("part")))
+        cut = todo.select("name", F.explode(windows).alias("w")).select("name", "w.at", "w.part").repartition(4 * partitions(spark), "name", "at")
+        ids = fold(cut, "part", ranks).select("name", "at", "ids").repartition("name").sortWithinPartitions("name", "at")
+        ids.mapInArrow(_spliced(size.tobytes()), "name string, ids array<int>").write.parquet(f"{folder}/{width}")
+        found = spark.read.schema("name string, ids array<int>").parquet(f"{folder}/{width}")
+        ready = todo.join(found.where("ids is not null"), "name").select("piece", "ids", "n")
+        done = ready if done is None else done.union(ready)
+        open_ = found.where("ids is null")
+        if open_.isEmpty():
+            return done
+        todo, width = todo.join(open_.select("name"), "name", "left_semi"), 2 * width
+
+
+def fold_pieces(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(piece binary, ids array<int>, n) of the distinct pieces of all texts that aren't in the vocabulary, as a table."""
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "bpe-pieces")
+    schema = "piece binary, ids array<int>, n long"
+    own = np.sort(_hashes(list(ranks))).astype("<u8").tobytes()
+    found = docs.select("text").mapInArrow(_distinct(own), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    dealt = found.repartition(4 * partitions(spark), "piece")
+    fold(dealt, "piece", ranks, F.octet_length("piece") > LONG).select("piece", "ids", "n").write.parquet(f"{folder}/short")
+    short = spark.read.schema(schema).parquet(f"{folder}/short")
+    long = short.where("ids is null")
+    if long.isEmpty():
+        return short
+    _fold_long(long.select("piece", "n"), ranks, f"{folder}/rounds").write.parquet(f"{folder}/long")
+    return short.where("ids is not null").union(spark.read.schema(schema).parquet(f"{folder}/long"))
+
+
+def _common(folded: DataFrame, ranks: dict[bytes, int]) -> tuple[tuple[bytes, bytes, bytes], int]:
+    """The vocabulary and the commonest folded pieces (hashes, lengths, ids), and the least count among the latter."""
+    weight = F.octet_length("piece") + 4 * F.size("ids") + 32
+    levels = folded.groupBy("n").agg(F.sum(weight).alias("bytes")).orderBy(F.desc("n"))
+    total, least = 0, 1 << 62
+    for row in levels.limit(1 << 20).toLocalIterator():  # a level weighs over 32 bytes
+        total += row["bytes"]
+        if total > COMMON_BYTES:
+            break
+        least = row["n"]
+    top = folded.where(F.col("n") >= least).select("piece", "ids").toArrow().combine_chunks()  # at most COMMON_BYTES
+    names = list(ranks) + top.column("piece").to_pylist()
+    listed = top.column("ids").combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
+    lengths = np.concatenate([np.ones(len(ranks)), listed.value_lengths().to_numpy(zero_copy_only=False)])
+    flat = np.concatenate([np.fromiter(ranks.values(), np.int64, len(ranks)), listed.flatten().to_numpy()])
+    return (_hashes(names).astype("<u8").tobytes(), lengths.astype("<i4").tobytes(), flat.astype("<u4").tobytes()), least
+
+
+def _rarer(held):
+    """(part, key, piece) of the pieces that aren't in the common table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(held)
+        for batch in batches:
+            part = batch.column(0).to_numpy().astype(np.uint64)
+            for chunk in vectext.chunks(batch.column(1)):
+                cut, bounds = pieces(chunk)
+                key = vectext.span_hash(chunk.data, cut[:-1], cut[1:])
+                rare = np.flatnonzero(table.find(key) < 0)
+                text = np.repeat(np.arange(len(chunk)), np.diff(bounds))[rare]
+                own = part[chunk.first + text]
+                _, first = np.unique(key[rare] ^ vectext.mix(own + np.uint64(1)), return_index=True)
+                at = rare[first]
+                yield pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int64)), pa.array(key[at].view(np.int64)), binaries(chunk.data, cut[at], cut[at + 1])], ["part", "key", "piece"])
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _with_holes(held, kind: str):
+    """Rows of documents: their ids with a hole for each rarer piece (compressed), and the hashes of those pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, press = _table(held), zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for chunk in vectext.chunks(batch.column(2)):
+                cut, bounds = pieces(chunk)
+                key = vectext.span_hash(chunk.data, cut[:-1], cut[1:])
+                slots = table.find(key)
+                flat, begins = table.ids(slots)
+                ids, ends = flat.astype(kind), begins[bounds].tolist()
+                rare = np.flatnonzero(slots < 0)
+                keys, at = key[rare], np.searchsorted(rare, bounds).tolist()
+                coded = [press(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
+                holes = [keys[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+                rows = slice(chunk.first, chunk.first + len(chunk))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(coded, pa.binary()), pa.array(holes, pa.binary())], ["part", "doc_id", "coded", "holes"])
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _filled(kind: str, names: list[str], emit):
+    """Rows sorted by part, pieces' ids before documents -> documents with their ids, through ``emit``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loosen = zstandard.ZstdDecompressor().decompress
+        part, keys, flats, held = None, [], [], None
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            is_doc = batch.column("coded").is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (is_doc[1:] != is_doc[:-1])]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)], strict=True) if len(parts) else ():
+                if parts[a] != part:
+                    part, keys, flats, held = parts[a], [], [], None
+                rows = batch.slice(a, b - a)
+                if not is_doc[a]:
+                    keys.append(rows.column("key").to_numpy())
+                    flats.append(rows.column("ids"))
+                    continue
+                if held is None:
+                    listed = pa.concat_arrays(flats) if flats else pa.array([], pa.list_(pa.int32()))
+                    name, first = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_index=True)
+                    length = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    held = name, first, length, np.cumsum(length) - length, listed.flatten().to_numpy().astype(np.uint32)
+                    keys, flats = [], []
+                column, holes, k = rows.column("coded").to_pylist(), rows.column("holes").to_pylist(), 0
+                while k < len(column):
+                    raw, size, first_row = [], 0, k
+                    while k < len(column) and (size < CHUNK or not raw):
+                        raw.append(np.frombuffer(loosen(column[k]), kind))
+                        size, k = size + raw[-1].nbytes, k + 1
+                    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+                    flat, bounds = _fill(np.concatenate(raw), bounds, np.frombuffer(b"".join(holes[first_row:k]), np.int64), held)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id")[first_row:k], *emit(flat, bounds)], names)
+
+    return run
+
+
+def _fill(ids: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray]:
+    name, first, length, start, flat = held
+    hole = np.flatnonzero(ids == np.array(_HOLE).astype(ids.dtype))
+    if len(hole) == 0:
+        return ids.astype(np.uint32), bounds
+    place = np.minimum(np.searchsorted(name, wanted), max(len(name) - 1, 0))
+    if len(name) == 0 or (name[place] != wanted).any():
+        raise RuntimeError("a piece of a text has no ids: the documents changed between two reads")
+    which = first[place]
+    pool = np.concatenate([ids.astype(np.uint32), flat])
+    begins, lengths = np.arange(len(ids)), np.ones(len(ids), np.int64)
+    begins[hole], lengths[hole] = start[which] + len(ids), length[which]
+    out, ends = _gathered(pool, begins, lengths)
+    return out, ends[bounds]
+
+
+class Bytes:
+    """Decodes ids: the bytes of each, one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        spelled = [b""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            spelled[i] = piece
+        self.pool, self.length = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        out, ends = _gathered(self.pool, self.start[ids], self.length[ids])
+        offsets = ends[bounds].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def _little_endian(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], columns: str, emit) -> DataFrame:
+    """doc_id and the ``columns`` that ``emit`` makes of (flat ids, bounds) for each row of docs."""
+    spark = docs.sparkSession
+    ready = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind_of_id = ready.schema["doc_id"].dataType.simpleString()
+    folded = fold_pieces(ready, ranks)
+    common, least = _common(folded, ranks)
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, *common))
+    parts = max(1, -(-(ready.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    dealt = ready.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"), "doc_id", "text")
+    kind = "<u2" if max(ranks.values()) < 0xFFFF else "<u4"
+    texts = dealt.mapInArrow(_with_holes(held, kind), f"part long, doc_id {kind_of_id}, coded binary, holes binary")
+    rarer = dealt.select("part", "text").mapInArrow(_rarer(held), "part long, key long, piece binary")
+    ids = rarer.join(folded.where(F.col("n") < least).select("piece", "ids"), "piece").select("part", "key", "ids")
+    rows = texts.unionByName(ids, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("coded").isNotNull())
+    return rows.mapInArrow(_filled(kind, ["doc_id", *(c.split()[0] for c in columns.split(", "))], emit), f"doc_id {kind_of_id}, {columns}")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(doc_id, text) -> (doc_id, ids array<int>), one row for each input row; a null text is the empty one.
+    """(doc_id, text) -> (doc_id, ids array<int>, decoded binary), one row for each input row.
 
-    ``ranks`` holds every single byte. Ids of special tokens never come out. Extra columns are ignored. Work on a piece
-    grows with the square of its length in bytes where it isn't a piece of the vocabulary.
+    ``decoded`` is made of the ids. A null or empty text has no ids. Rows that repeat give a row each; extra columns are
+    ignored; an empty table gives an empty result. ``ranks`` holds every single byte and ids below 65,536; ids of
+    special tokens never come out. Distinct pieces are told apart by their bytes, those of the common table and of a
+    part by 64-bit hashes.
     """
-    ready = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rank = rank_map(docs.sparkSession, ranks)
-    common = _common(ready, rank)
-    ids = F.flatten(F.transform(pieces(F.col("text")), lambda p: F.coalesce(_held(common, p), fold(rank, p))))
-    return ready.select("doc_id", ids.alias("ids"))
+    to_bytes = Bytes(ranks)
+    return _coded(docs, ranks, "ids array<int>, decoded binary", lambda flat, bounds: (_lists(flat, bounds), to_bytes.decode(flat, bounds)))
 
 
-def joined(ids: Column, by_id: Column) -> Column:
-    """Bytes of ids, one after another: with the vocabulary's pieces in ``by_id``, the decoded bytes of an id array."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(by_id, i)), ""))
+def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(doc_id, ids array<int>) -> (doc_id, decoded binary); null ids decode to no bytes."""
+    to_bytes = Bytes(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.nan_to_num(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), to_bytes.decode(batch.column(1).flatten().to_numpy(), bounds)], ["doc_id", "decoded"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian uint32), decoded_sha256 (bytes of the decoded ids)."""
-    spark = docs.sparkSession
-    little = hex_by_id(spark, {i: i.to_bytes(4, "little") for i in ranks.values()})
-    pieces_ = hex_by_id(spark, {i: piece for piece, i in ranks.items()})
-    coded = encode(docs, ranks)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids"), little), 256).alias("ids_sha256"), F.sha2(joined(F.col("ids"), pieces_), 256).alias("decoded_sha256"))
+    to_bytes = Bytes(ranks)
+    both = _coded(docs, ranks, "ids binary, decoded binary", lambda flat, bounds: (_little_endian(flat, bounds), to_bytes.decode(flat, bounds)))
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

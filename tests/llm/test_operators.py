@@ -339,18 +339,39 @@ def test_personal_data(spark, docs, nothing):
     assert tuple(clean) == (1, "é [EMAIL], [IP]!", 5)
 
 
-def test_byte_bpe(spark, docs, nothing, encoding):
+def check_round_trip(spark, rows, encoding):
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
-    rng = random.Random(3)
-    odd = ["".join(rng.choice("ab s't're'll'dve 'sm \n\t  é漢12٣²½!?., 　\xa0 x'") for _ in range(rng.randint(0, 40))) for _ in range(200)]
-    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect() if len(r["text"] or "") < 5000] + [(1000 + i, t) for i, t in enumerate(odd)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    out = by_id(byte_bpe.round_trip(frame, ranks))
+    out = by_id(byte_bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), ranks))
+    assert len(out) == len(rows)
     for doc_id, t in rows:
         ids = np.array(encoding.encode_ordinary(t or ""), "<u4")
         told = (doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
-        assert tuple(out[doc_id]) == told, t
+        assert tuple(out[doc_id]) == told, (t or "")[:100]
+
+
+def test_byte_bpe(spark, docs, nothing, encoding, monkeypatch):
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("ab s't're'll'dve 'sm \n\t  é漢12٣²½!?., 　\xa0 x'") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()] + [(1000 + i, t) for i, t in enumerate(odd)]
+    check_round_trip(spark, rows, encoding)
+    monkeypatch.setattr(byte_bpe, "COMMON_BYTES", 2_000)  # most pieces are joined
+    monkeypatch.setattr(byte_bpe, "PART_BYTES", 20_000)
+    check_round_trip(spark, rows, encoding)
     assert byte_bpe.round_trip(nothing, ranks).count() == 0
+    twice = spark.createDataFrame([("a", "one two", 1), ("a", "one two", 1), (None, None, 2)], "doc_id string, text string, part int")
+    coded = byte_bpe.encode(twice, ranks)
+    assert sorted((r["doc_id"] or "", bytes(r["decoded"])) for r in coded.collect()) == [("", b""), ("a", b"one two"), ("a", b"one two")]
+    assert sorted(bytes(r["decoded"]) for r in byte_bpe.decode(coded, ranks).collect()) == [b"", b"one two", b"one two"]
+
+
+def test_byte_bpe_long_pieces(spark, encoding):
+    """Words of up to 200,000 letters, of random letters, of one letter and of short periods that windows don't share."""
+    rng = random.Random(4)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [word(200_000, "abcdefghijklmnopqrstuvwxyzé"), "a" * 1_500, "ab" * 700 + "c", "abc" * 300, "=" * 777 + "x", " " * 500, "7" * 400, "the" * 129, "漢字" * 200]
+    texts += [word(rng.randint(120, 900), rng.choice(["ab", "etaoin", "xyzé", "aab"])) for _ in range(40)]
+    check_round_trip(spark, list(enumerate(texts)), encoding)
 
 
 def test_ranks_file():
