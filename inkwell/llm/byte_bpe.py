@@ -31,7 +31,8 @@ from inkwell.llm.common import new_folder, partitions
 from inkwell.llm.pretoken import pieces
 
 LONG = 128
-COMMON_BYTES, PART_BYTES, CHUNK = 24 << 20, 8 << 20, 1 << 22
+COMMON_BYTES, PART_BYTES = 24 << 20, 8 << 20
+DISTINCT_CHUNK, FILL_CHUNK = 3 << 19, 1 << 20  # bytes worked on at a time, which bounds a worker's memory
 BUCKETS = 1 << 17
 _FACTOR, _SHIFT = 81007, 9  # of the hash that deals pairs over the buckets
 _ID_BITS = 20
@@ -185,7 +186,7 @@ def _distinct(vocabulary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(vocabulary, "<u8")
         for batch in batches:
-            for chunk in vectext.chunks(batch.column(0), CHUNK):
+            for chunk in vectext.chunks(batch.column(0), DISTINCT_CHUNK):
                 cut, _ = pieces(chunk)
                 if len(cut) == 1:
                     continue
@@ -362,7 +363,7 @@ def _filled(kind: str, names: list[str], emit):
                 column, holes, k = rows.column("coded").to_pylist(), rows.column("holes").to_pylist(), 0
                 while k < len(column):
                     raw, size, first_row = [], 0, k
-                    while k < len(column) and (size < CHUNK or not raw):
+                    while k < len(column) and (size < FILL_CHUNK or not raw):
                         raw.append(np.frombuffer(loosen(column[k]), kind))
                         size, k = size + raw[-1].nbytes, k + 1
                     bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
