@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import vectext
 from inkwell.llm.common import new_folder, partitions
+from inkwell.llm.lookup import Lookup
 from inkwell.llm.pretoken import pieces
 
 LONG = 128
@@ -122,40 +123,14 @@ def _hashes(found: list[bytes]) -> np.ndarray:
     return vectext.span_hash(np.frombuffer(b"".join(found), np.uint8), bounds[:-1], bounds[1:])
 
 
-class PieceTable:
-    """Ids of pieces by their 64-bit hash (a hash that is 0 isn't found); slot -1 is a hole."""
+class PieceTable(Lookup):
+    """Ids of pieces by their 64-bit hash; slot -1 is a hole."""
 
     def __init__(self, keys: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        super().__init__(keys)
         self.lengths = np.append(lengths, 1).astype(np.int32)  # the last one is the hole's
         self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
         self.flat = np.append(flat.astype(np.uint32), _HOLE)
-        bits = int(3 * len(keys) + 1).bit_length()
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.key, self.slot = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        left, place = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
-        while len(left):
-            free = np.flatnonzero(self.key[place] == 0)
-            spot, first = np.unique(place[free], return_index=True)
-            put = free[first]
-            self.key[spot], self.slot[spot] = keys[left[put]], left[put]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, place = left[rest], (place[rest] + 1) & self.mask
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        place = (key >> self.shift).astype(np.int64)
-        met = self.key[place]
-        out = np.where(met == key, self.slot[place], np.int32(-1))
-        todo = np.flatnonzero((met != key) & (met != 0))
-        place = place[todo]
-        while len(todo):
-            place = (place + 1) & self.mask
-            met = self.key[place]
-            hit = met == key[todo]
-            out[todo[hit]] = self.slot[place[hit]]
-            on = ~hit & (met != 0)
-            todo, place = todo[on], place[on]
-        return out
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of slots one after another, and where each slot's begin (a last entry closes them)."""

@@ -240,19 +240,24 @@ def test_attention_gradients_and_causality():
     ids, bounds = rng.integers(0, 299, 200).astype(np.uint32), np.array([0, 0, 5, 120, 200])
     inputs, goals, scored, text = A.layout(ids, bounds, 299)
     assert (goals >= 0).sum() == 200 + 4 and np.bincount(text[scored], minlength=4).tolist() == [1, 1, 8, 6]
-    model = A.train(counts, iter([(ids, bounds)]), 299)
-    kind = np.append(model.kind, -1)
+    some = goals >= 0
+    (a, b), n = np.unique(np.stack([inputs[some], goals[some]]), axis=1, return_counts=True)
+    kind = np.where(np.arange(300) < 250, np.arange(300) % A.CLASSES, 0)
+    follow = np.zeros((300, A.CLASSES), np.int64)
+    np.add.at(follow, (a, kind[b]), n)
+    model = A.start(A.untrained(counts, kind, follow, (a, b, n), 299), iter([(ids, bounds)]), 299)
+    look, kind = np.append(model.look, -1), np.append(model.kind, -1)
     b = np.flatnonzero(scored)
-    before, now, goal = kind[inputs][b - 1], kind[inputs][b], kind[goals][b]
+    before, now, row, goal = look[inputs][b - 1], look[inputs][b], model.row[np.maximum(inputs[b], 0)], kind[goals][b]
 
     def loss():
-        logits, _ = model.forward(before, now)
+        logits, _ = model.prepare().forward(before, now, row)
         logits = logits.astype(float)
         p = logits - np.log(np.exp(logits - logits.max(2, keepdims=True)).sum(2, keepdims=True)) - logits.max(2, keepdims=True)
         hit = np.take_along_axis(p, np.maximum(goal, 0)[:, :, None], 2)[:, :, 0]
         return -(hit * (goal >= 0)).sum() / (goal >= 0).sum()
 
-    for part, g in A.gradients(model, before, now, goal).items():
+    for part, g in A.gradients(model, before, now, row, goal).items():
         value = getattr(model, part)
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old = value[at]
@@ -262,10 +267,10 @@ def test_attention_gradients_and_causality():
         down = loss()
         value[at] = old
         assert (up - down) / 2e-2 == pytest.approx(float(g[at]), rel=0.1, abs=2e-4), part
-    logits, _ = model.forward(before, now)
+    logits, _ = model.forward(before, now, row)
     changed = now.copy()
     changed[:, 9:] = 0
-    assert np.allclose(logits[:, :9], model.forward(before, changed)[0][:, :9], atol=1e-5)
+    assert np.allclose(logits[:, :9], model.forward(before, changed, row)[0][:, :9], atol=1e-5)
 
 
 def test_mixing(spark, docs, nothing):
