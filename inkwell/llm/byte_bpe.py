@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,13 @@ from inkwell.llm.lookup import Lookup
 from inkwell.llm.pretoken import pieces
 
 LONG = 128
-COMMON_BYTES, PART_BYTES = 24 << 20, 8 << 20
-DISTINCT_CHUNK, FILL_CHUNK = 3 << 19, 1 << 20  # bytes worked on at a time, which bounds a worker's memory
+COMMON_BYTES, PART_BYTES = 56 << 20, 8 << 20
+CHUNK = (1 << 20) - 2  # bytes worked on at a time, which bounds a worker's memory
 BUCKETS = 1 << 17
 _FACTOR, _SHIFT = 81007, 9  # of the hash that deals pairs over the buckets
 _ID_BITS = 20
 _NO_ID, _NO_RANK = (1 << _ID_BITS) - 1, (1 << 31) - 1
-_HOLE = np.uint32(0xFFFFFFFF)
+_HOLE = np.uint16(0xFFFF)  # no id: ids are below it
 
 
 @functools.cache
@@ -101,8 +102,8 @@ def fold(frame: DataFrame, piece: str, ranks: dict[bytes, int], spare: Column |
 
     Work on a piece grows with the square of its length. The rank of a merge is the id that it makes.
     """
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("the map of pairs holds ids below 65,536")
+    if max(ranks.values()) >= _HOLE:
+        raise ValueError("ids are held in 16 bits")
     singles = [ranks[bytes([i])] for i in range(256)]
     with_ranks = frame.withColumn("_ranks", rank_map(frame.sparkSession, ranks))  # inlined: _ranks stands below once
     one = _let(F.col("_ranks"), lambda table: _fold(table, F.col(piece), singles))
@@ -118,9 +119,26 @@ def binaries(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[place]))])
 
 
-def _hashes(found: list[bytes]) -> np.ndarray:
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-    return vectext.span_hash(np.frombuffer(b"".join(found), np.uint8), bounds[:-1], bounds[1:])
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and its bounds in them."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _hashes(found: pa.Array | list[bytes]) -> np.ndarray:
+    data, bounds = _bytes(found if isinstance(found, pa.Array) else pa.array(found, pa.binary()))
+    return vectext.span_hash(data, bounds[:-1], bounds[1:])
+
+
+def _unpacked(coded: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, numbers of ids and ids of a column of pieces' hashes with their ids."""
+    data, bounds = _bytes(coded)
+    words, head = data.view("<u2"), bounds[:-1] // 2
+    body = np.ones(len(words), bool)
+    at = (head[:, None] + np.arange(4)).ravel()
+    body[at] = False
+    return np.ascontiguousarray(words[at]).view("<u8"), np.diff(bounds) // 2 - 4, words[body]
 
 
 class PieceTable(Lookup):
@@ -128,9 +146,10 @@ class PieceTable(Lookup):
 
     def __init__(self, keys: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
         super().__init__(keys)
-        self.lengths = np.append(lengths, 1).astype(np.int32)  # the last one is the hole's
-        self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
-        self.flat = np.append(flat.astype(np.uint32), _HOLE)
+        self.lengths = np.append(lengths, 1).astype(np.uint16)  # the last one is the hole's
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        self.starts = (ends - self.lengths).astype(np.int32)
+        self.flat = np.append(flat, _HOLE)
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of slots one after another, and where each slot's begin (a last entry closes them)."""
@@ -151,7 +170,7 @@ def _table(held) -> PieceTable:
     name, *arrays = held.value
     if name not in _tables:
         _tables.clear()
-        _tables[name] = PieceTable(*(np.frombuffer(x, t) for x, t in zip(arrays, ("<u8", "<i4", "<u4"), strict=True)))
+        _tables[name] = PieceTable(*(np.frombuffer(x, t) for x, t in zip(arrays, ("<u8", "<u2", "<u2"), strict=True)))
     return _tables[name]
 
 
@@ -161,7 +180,7 @@ def _distinct(vocabulary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(vocabulary, "<u8")
         for batch in batches:
-            for chunk in vectext.chunks(batch.column(0), DISTINCT_CHUNK):
+            for chunk in vectext.chunks(batch.column(0), CHUNK):
                 cut, _ = pieces(chunk)
                 if len(cut) == 1:
                     continue
@@ -233,48 +252,73 @@ def _fold_long(todo: DataFrame, ranks: dict[bytes, int], folder: str) -> DataFra
         todo, width = todo.join(open_.select("name"), "name", "left_semi"), 2 * width
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, ids, n) with the ids after the piece's hash in one binary; null where ids are."""
+    for batch in batches:
+        keys = _hashes(batch.column("piece")).astype("<u8")
+        lists = batch.column("ids")
+        flat, length = lists.flatten().to_numpy().astype("<u2"), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        head = np.arange(len(keys)) * 4 + np.cumsum(length) - length
+        out = np.zeros(len(flat) + 4 * len(keys), "<u2")
+        out[(head[:, None] + np.arange(4)).ravel()] = keys.view("<u2")
+        body = np.ones(len(out), bool)
+        body[(head[:, None] + np.arange(4)).ravel()] = False
+        out[body] = flat
+        coded = binaries(out.view(np.uint8), 2 * head, 2 * (head + 4 + length))
+        yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.compute.if_else(lists.is_valid(), coded, None), batch.column("n")], ["piece", "coded", "n"])
+
+
+_PIECES = "piece binary, coded binary, n long"
+
+
 def fold_pieces(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(piece binary, ids array<int>, n) of the distinct pieces of all texts that aren't in the vocabulary, as a table."""
+    """(piece, coded, n) of the distinct pieces of all texts that aren't in the vocabulary, as a table.
+
+    ``coded`` is the piece's 64-bit hash and its ids as uint16, ``n`` how often the piece occurs.
+    """
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "bpe-pieces")
-    schema = "piece binary, ids array<int>, n long"
     own = np.sort(_hashes(list(ranks))).astype("<u8").tobytes()
     found = docs.select("text").mapInArrow(_distinct(own), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    dealt = found.repartition(4 * partitions(spark), "piece")
-    fold(dealt, "piece", ranks, F.octet_length("piece") > LONG).select("piece", "ids", "n").write.parquet(f"{folder}/short")
-    short = spark.read.schema(schema).parquet(f"{folder}/short")
-    long = short.where("ids is null")
+    fold(found, "piece", ranks, F.octet_length("piece") > LONG).select("piece", "ids", "n").mapInArrow(_packed, _PIECES).write.parquet(f"{folder}/short")
+    short = spark.read.schema(_PIECES).parquet(f"{folder}/short")
+    long = short.where("coded is null")
     if long.isEmpty():
         return short
-    _fold_long(long.select("piece", "n"), ranks, f"{folder}/rounds").write.parquet(f"{folder}/long")
-    return short.where("ids is not null").union(spark.read.schema(schema).parquet(f"{folder}/long"))
+    _fold_long(long.select("piece", "n"), ranks, f"{folder}/rounds").mapInArrow(_packed, _PIECES).write.parquet(f"{folder}/long")
+    return short.where("coded is not null").union(spark.read.schema(_PIECES).parquet(f"{folder}/long"))
 
 
 def _common(folded: DataFrame, ranks: dict[bytes, int]) -> tuple[tuple[bytes, bytes, bytes], int]:
-    """The vocabulary and the commonest folded pieces (hashes, lengths, ids), and the least count among the latter."""
-    weight = F.octet_length("piece") + 4 * F.size("ids") + 32
+    """The vocabulary and the commonest folded pieces (hashes, lengths, ids), and the least count among the latter.
+
+    A piece weighs what it takes in a task's table. All pieces of a count are taken, or none.
+    """
+    weight = 2 * F.octet_length("coded") + 24
     levels = folded.groupBy("n").agg(F.sum(weight).alias("bytes")).orderBy(F.desc("n"))
     total, least = 0, 1 << 62
-    for row in levels.limit(1 << 20).toLocalIterator():  # a level weighs over 32 bytes
+    for row in levels.limit(COMMON_BYTES // 40 + 1).toLocalIterator():  # a level weighs at least 40 bytes
         total += row["bytes"]
         if total > COMMON_BYTES:
             break
         least = row["n"]
-    top = folded.where(F.col("n") >= least).select("piece", "ids").toArrow().combine_chunks()  # at most COMMON_BYTES
-    names = list(ranks) + top.column("piece").to_pylist()
-    listed = top.column("ids").combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
-    lengths = np.concatenate([np.ones(len(ranks)), listed.value_lengths().to_numpy(zero_copy_only=False)])
-    flat = np.concatenate([np.fromiter(ranks.values(), np.int64, len(ranks)), listed.flatten().to_numpy()])
-    return (_hashes(names).astype("<u8").tobytes(), lengths.astype("<i4").tobytes(), flat.astype("<u4").tobytes()), least
+    top = folded.where(F.col("n") >= least).select("coded").toArrow().column("coded").combine_chunks()  # at most COMMON_BYTES
+    keys, lengths, flat = _unpacked(pa.concat_arrays(top.chunks) if isinstance(top, pa.ChunkedArray) else top)
+    some = lengths < 1 << 16  # longer ones stay with the rarer pieces
+    flat = flat[np.repeat(some, lengths)]
+    keys = np.concatenate([_hashes(list(ranks)), keys[some]])
+    lengths = np.concatenate([np.ones(len(ranks), np.int64), lengths[some]])
+    flat = np.concatenate([np.fromiter(ranks.values(), "<u2", len(ranks)), flat])
+    return (keys.astype("<u8").tobytes(), lengths.astype("<u2").tobytes(), flat.astype("<u2").tobytes()), least
 
 
 def _rarer(held):
-    """(part, key, piece) of the pieces that aren't in the common table."""
+    """(part, piece) of the pieces that aren't in the common table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(held)
         for batch in batches:
             part = batch.column(0).to_numpy().astype(np.uint64)
-            for chunk in vectext.chunks(batch.column(1)):
+            for chunk in vectext.chunks(batch.column(1), CHUNK):
                 cut, bounds = pieces(chunk)
                 key = vectext.span_hash(chunk.data, cut[:-1], cut[1:])
                 rare = np.flatnonzero(table.find(key) < 0)
@@ -282,24 +326,24 @@ def _rarer(held):
                 own = part[chunk.first + text]
                 _, first = np.unique(key[rare] ^ vectext.mix(own + np.uint64(1)), return_index=True)
                 at = rare[first]
-                yield pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int64)), pa.array(key[at].view(np.int64)), binaries(chunk.data, cut[at], cut[at + 1])], ["part", "key", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int64)), binaries(chunk.data, cut[at], cut[at + 1])], ["part", "piece"])
             pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _with_holes(held, kind: str):
+def _with_holes(held):
     """Rows of documents: their ids with a hole for each rarer piece (compressed), and the hashes of those pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, press = _table(held), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for chunk in vectext.chunks(batch.column(2)):
+            for chunk in vectext.chunks(batch.column(2), CHUNK):
                 cut, bounds = pieces(chunk)
                 key = vectext.span_hash(chunk.data, cut[:-1], cut[1:])
                 slots = table.find(key)
                 flat, begins = table.ids(slots)
-                ids, ends = flat.astype(kind), begins[bounds].tolist()
+                ids, ends = flat.astype("<u2"), begins[bounds].tolist()
                 rare = np.flatnonzero(slots < 0)
                 keys, at = key[rare], np.searchsorted(rare, bounds).tolist()
                 coded = [press(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
@@ -311,56 +355,52 @@ def _with_holes(held, kind: str):
     return run
 
 
-def _filled(kind: str, names: list[str], emit):
-    """Rows sorted by part, pieces' ids before documents -> documents with their ids, through ``emit``."""
+def _filled(names: list[str], emit):
+    """Rows sorted by part, pieces before documents -> documents with their ids, through ``emit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor().decompress
-        part, keys, flats, held = None, [], [], None
+        part, found, held = None, [], None
         for batch in batches:
             parts = batch.column("part").to_numpy()
-            is_doc = batch.column("coded").is_valid().to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (is_doc[1:] != is_doc[:-1])]))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)], strict=True) if len(parts) else ():
+            is_doc = batch.column("holes").is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (is_doc[1:] != is_doc[:-1])])) if len(parts) else np.zeros(0, int)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)], strict=False):
                 if parts[a] != part:
-                    part, keys, flats, held = parts[a], [], [], None
+                    part, found, held = parts[a], [], None
                 rows = batch.slice(a, b - a)
                 if not is_doc[a]:
-                    keys.append(rows.column("key").to_numpy())
-                    flats.append(rows.column("ids"))
+                    found.append(_unpacked(rows.column("coded")))
                     continue
                 if held is None:
-                    listed = pa.concat_arrays(flats) if flats else pa.array([], pa.list_(pa.int32()))
-                    name, first = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_index=True)
-                    length = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    held = name, first, length, np.cumsum(length) - length, listed.flatten().to_numpy().astype(np.uint32)
-                    keys, flats = [], []
-                column, holes, k = rows.column("coded").to_pylist(), rows.column("holes").to_pylist(), 0
-                while k < len(column):
-                    raw, size, first_row = [], 0, k
-                    while k < len(column) and (size < FILL_CHUNK or not raw):
-                        raw.append(np.frombuffer(loosen(column[k]), kind))
+                    key, length, flat = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, "<u8"), np.zeros(0, np.int64), np.zeros(0, "<u2"))
+                    name, first = np.unique(key, return_index=True)
+                    found, held = [], (name, first, length, np.cumsum(length) - length, flat)
+                coded, holes, k = rows.column("coded").to_pylist(), rows.column("holes").to_pylist(), 0
+                while k < len(coded):
+                    raw, size, row = [], 0, k
+                    while k < len(coded) and (size < CHUNK or not raw):
+                        raw.append(np.frombuffer(loosen(coded[k]), "<u2"))
                         size, k = size + raw[-1].nbytes, k + 1
                     bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-                    flat, bounds = _fill(np.concatenate(raw), bounds, np.frombuffer(b"".join(holes[first_row:k]), np.int64), held)
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id")[first_row:k], *emit(flat, bounds)], names)
+                    flat, bounds = _fill(np.concatenate(raw), bounds, np.frombuffer(b"".join(holes[row:k]), "<u8"), held)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id")[row:k], *emit(flat, bounds)], names)
 
     return run
 
 
 def _fill(ids: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray]:
     name, first, length, start, flat = held
-    hole = np.flatnonzero(ids == np.array(_HOLE).astype(ids.dtype))
+    hole = np.flatnonzero(ids == _HOLE)
     if len(hole) == 0:
-        return ids.astype(np.uint32), bounds
+        return ids, bounds
     place = np.minimum(np.searchsorted(name, wanted), max(len(name) - 1, 0))
     if len(name) == 0 or (name[place] != wanted).any():
         raise RuntimeError("a piece of a text has no ids: the documents changed between two reads")
     which = first[place]
-    pool = np.concatenate([ids.astype(np.uint32), flat])
     begins, lengths = np.arange(len(ids)), np.ones(len(ids), np.int64)
     begins[hole], lengths[hole] = start[which] + len(ids), length[which]
-    out, ends = _gathered(pool, begins, lengths)
+    out, ends = _gathered(np.concatenate([ids, flat]), begins, lengths)
     return out, ends[bounds]
 
 
@@ -398,19 +438,18 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], columns: str, emit) -> Data
     held = spark.sparkContext.broadcast((uuid.uuid4().hex, *common))
     parts = max(1, -(-(ready.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     dealt = ready.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"), "doc_id", "text")
-    kind = "<u2" if max(ranks.values()) < 0xFFFF else "<u4"
-    texts = dealt.mapInArrow(_with_holes(held, kind), f"part long, doc_id {kind_of_id}, coded binary, holes binary")
-    rarer = dealt.select("part", "text").mapInArrow(_rarer(held), "part long, key long, piece binary")
-    ids = rarer.join(folded.where(F.col("n") < least).select("piece", "ids"), "piece").select("part", "key", "ids")
-    rows = texts.unionByName(ids, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("coded").isNotNull())
-    return rows.mapInArrow(_filled(kind, ["doc_id", *(c.split()[0] for c in columns.split(", "))], emit), f"doc_id {kind_of_id}, {columns}")
+    texts = dealt.mapInArrow(_with_holes(held), f"part long, doc_id {kind_of_id}, coded binary, holes binary")
+    rarer = dealt.select("part", "text").mapInArrow(_rarer(held), "part long, piece binary")
+    ids = rarer.join(folded.where((F.col("n") < least) | (F.octet_length("coded") > 1 << 17)).select("piece", "coded"), "piece").select("part", "coded")
+    rows = texts.unionByName(ids, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("holes").isNotNull())
+    return rows.mapInArrow(_filled(["doc_id", *(c.split()[0] for c in columns.split(", "))], emit), f"doc_id {kind_of_id}, {columns}")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, text) -> (doc_id, ids array<int>, decoded binary), one row for each input row.
 
     ``decoded`` is made of the ids. A null or empty text has no ids. Rows that repeat give a row each; extra columns are
-    ignored; an empty table gives an empty result. ``ranks`` holds every single byte and ids below 65,536; ids of
+    ignored; an empty table gives an empty result. ``ranks`` holds every single byte and ids below 65,535; ids of
     special tokens never come out. Distinct pieces are told apart by their bytes, those of the common table and of a
     part by 64-bit hashes.
     """

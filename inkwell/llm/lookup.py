@@ -9,7 +9,7 @@ class Lookup:
     """Index of each of ``keys`` (distinct, well mixed); a key that is 0 is never found."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        bits = int(3 * len(keys) + 1).bit_length()
+        bits = int(1.5 * len(keys) + 1).bit_length()  # filled to at most two thirds
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.key, self.slot = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         left, place = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
