@@ -174,22 +174,15 @@ def _table(held) -> PieceTable:
     return _tables[name]
 
 
-def _distinct(vocabulary: bytes):
-    """The pieces of each chunk of texts that aren't in the vocabulary, with how often they occur."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(vocabulary, "<u8")
-        for batch in batches:
-            for chunk in vectext.chunks(batch.column(0), CHUNK):
-                cut, _ = pieces(chunk)
-                if len(cut) == 1:
-                    continue
-                key, first, n = np.unique(vectext.span_hash(chunk.data, cut[:-1], cut[1:]), return_index=True, return_counts=True)
-                new = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] != key
-                yield pa.RecordBatch.from_arrays([binaries(chunk.data, cut[first[new]], cut[first[new] + 1]), pa.array(n[new])], ["piece", "n"])
-            pa.default_memory_pool().release_unused()
-
-    return run
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each chunk of texts, with how often they occur."""
+    for batch in batches:
+        for chunk in vectext.chunks(batch.column(0), CHUNK):
+            cut, _ = pieces(chunk)
+            if len(cut) > 1:
+                _, first, n = np.unique(vectext.span_hash(chunk.data, cut[:-1], cut[1:]), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([binaries(chunk.data, cut[first], cut[first + 1]), pa.array(n)], ["piece", "n"])
+        pa.default_memory_pool().release_unused()
 
 
 def _spliced(lengths: bytes):
@@ -272,13 +265,12 @@ _PIECES = "piece binary, coded binary, n long"
 
 
 def fold_pieces(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(piece, coded, n) of the distinct pieces of all texts that aren't in the vocabulary, as a table.
+    """(piece, coded, n) of the distinct pieces of all texts, as a table.
 
     ``coded`` is the piece's 64-bit hash and its ids as uint16, ``n`` how often the piece occurs.
     """
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "bpe-pieces")
-    own = np.sort(_hashes(list(ranks))).astype("<u8").tobytes()
-    found = docs.select("text").mapInArrow(_distinct(own), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(_distinct, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     fold(found, "piece", ranks, F.octet_length("piece") > LONG).select("piece", "ids", "n").mapInArrow(_packed, _PIECES).write.parquet(f"{folder}/short")
     short = spark.read.schema(_PIECES).parquet(f"{folder}/short")
     long = short.where("coded is null")
@@ -288,8 +280,9 @@ def fold_pieces(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return short.where("coded is not null").union(spark.read.schema(_PIECES).parquet(f"{folder}/long"))
 
 
-def _common(folded: DataFrame, ranks: dict[bytes, int]) -> tuple[tuple[bytes, bytes, bytes], int]:
-    """The vocabulary and the commonest folded pieces (hashes, lengths, ids), and the least count among the latter.
+def _common(folded: DataFrame, ranks: dict[bytes, int]) -> tuple[tuple[bytes, bytes, bytes], int, np.ndarray]:
+    """The vocabulary and the commonest pieces (hashes, lengths, ids), the least count among the latter, and their ids by
+    falling number.
 
     A piece weighs what it takes in a task's table. All pieces of a count are taken, or none.
     """
@@ -301,14 +294,53 @@ def _common(folded: DataFrame, ranks: dict[bytes, int]) -> tuple[tuple[bytes, by
         if total > COMMON_BYTES:
             break
         least = row["n"]
-    top = folded.where(F.col("n") >= least).select("coded").toArrow().column("coded").combine_chunks()  # at most COMMON_BYTES
-    keys, lengths, flat = _unpacked(pa.concat_arrays(top.chunks) if isinstance(top, pa.ChunkedArray) else top)
+    top = folded.where(F.col("n") >= least).select("coded", "n").toArrow().combine_chunks()  # at most COMMON_BYTES
+    keys, lengths, flat = _unpacked(pa.concat_arrays(top.column("coded").chunks or [pa.array([], pa.binary())]))
+    often = np.bincount(flat, weights=np.repeat(top.column("n").to_numpy(), lengths), minlength=max(ranks.values()) + 1)
     some = lengths < 1 << 16  # longer ones stay with the rarer pieces
-    flat = flat[np.repeat(some, lengths)]
-    keys = np.concatenate([_hashes(list(ranks)), keys[some]])
+    flat = np.concatenate([np.fromiter(ranks.values(), "<u2", len(ranks)), flat[np.repeat(some, lengths)]])
     lengths = np.concatenate([np.ones(len(ranks), np.int64), lengths[some]])
-    flat = np.concatenate([np.fromiter(ranks.values(), "<u2", len(ranks)), flat])
-    return (keys.astype("<u8").tobytes(), lengths.astype("<u2").tobytes(), flat.astype("<u2").tobytes()), least
+    keys, first = np.unique(np.concatenate([_hashes(list(ranks)), keys[some]]), return_index=True)  # a piece of the vocabulary has its own id
+    flat, _ = _gathered(flat, (np.cumsum(lengths) - lengths)[first], lengths[first])
+    return (keys.astype("<u8").tobytes(), lengths[first].astype("<u2").tobytes(), flat.astype("<u2").tobytes()), least, np.argsort(-often, kind="stable")
+
+
+#: Ids by falling number take one, two or three bytes: below ONE, below TWO, and all others.
+ONE, TWO = 192, 192 + 63 * 256
+
+
+class Packing:
+    """Ids with holes as short bytes: first bytes of all, second ones, and whole numbers where two bytes don't do."""
+
+    def __init__(self, order: np.ndarray) -> None:
+        self.ids = np.concatenate([[_HOLE], order]).astype(np.uint16)
+        self.number = np.zeros(1 << 16, np.int32)
+        self.number[self.ids] = np.arange(len(self.ids))
+
+    def pack(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        n = self.number[ids]
+        two, three = (n >= ONE) & (n < TWO), n >= TWO
+        a = np.where(n < ONE, n, np.where(two, ONE + ((n - ONE) >> 8), 255)).astype(np.uint8)
+        b, c = ((n - ONE) & 255)[two].astype(np.uint8), n[three].astype("<u2")
+        of = lambda mask: np.concatenate([[0], np.cumsum(mask)])[bounds].tolist()
+        at_b, at_c, at = of(two), of(three), bounds.tolist()
+        return [(at[k + 1] - at[k]).to_bytes(4, "little") + a[at[k] : at[k + 1]].tobytes() + b[at_b[k] : at_b[k + 1]].tobytes() + c[at_c[k] : at_c[k + 1]].tobytes() for k in range(len(at) - 1)]
+
+    def unpack(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        first, second, third, sizes = [], [], [], []
+        for raw in packed:
+            n = int.from_bytes(raw[:4], "little")
+            own = np.frombuffer(raw, np.uint8, n, 4)
+            two = int(((own >= ONE) & (own < 255)).sum())
+            first.append(own)
+            second.append(np.frombuffer(raw, np.uint8, two, 4 + n))
+            third.append(np.frombuffer(raw[4 + n + two :], "<u2"))
+            sizes.append(n)
+        a = np.concatenate(first).astype(np.int32)
+        two, three = (a >= ONE) & (a < 255), a == 255
+        a[two] = ONE + ((a[two] - ONE) << 8) + np.concatenate(second)
+        a[three] = np.concatenate(third)
+        return self.ids[a], np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _rarer(held):
@@ -332,7 +364,7 @@ def _rarer(held):
     return run
 
 
-def _with_holes(held):
+def _with_holes(held, packing: Packing):
     """Rows of documents: their ids with a hole for each rarer piece (compressed), and the hashes of those pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,10 +375,9 @@ def _with_holes(held):
                 key = vectext.span_hash(chunk.data, cut[:-1], cut[1:])
                 slots = table.find(key)
                 flat, begins = table.ids(slots)
-                ids, ends = flat.astype("<u2"), begins[bounds].tolist()
                 rare = np.flatnonzero(slots < 0)
                 keys, at = key[rare], np.searchsorted(rare, bounds).tolist()
-                coded = [press(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
+                coded = [press(x) for x in packing.pack(flat, begins[bounds])]
                 holes = [keys[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
                 rows = slice(chunk.first, chunk.first + len(chunk))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(coded, pa.binary()), pa.array(holes, pa.binary())], ["part", "doc_id", "coded", "holes"])
@@ -355,7 +386,7 @@ def _with_holes(held):
     return run
 
 
-def _filled(names: list[str], emit):
+def _filled(names: list[str], packing: Packing, emit):
     """Rows sorted by part, pieces before documents -> documents with their ids, through ``emit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,10 +411,9 @@ def _filled(names: list[str], emit):
                 while k < len(coded):
                     raw, size, row = [], 0, k
                     while k < len(coded) and (size < CHUNK or not raw):
-                        raw.append(np.frombuffer(loosen(coded[k]), "<u2"))
-                        size, k = size + raw[-1].nbytes, k + 1
-                    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-                    flat, bounds = _fill(np.concatenate(raw), bounds, np.frombuffer(b"".join(holes[row:k]), "<u8"), held)
+                        raw.append(loosen(coded[k]))
+                        size, k = size + 2 * len(raw[-1]), k + 1
+                    flat, bounds = _fill(*packing.unpack(raw), np.frombuffer(b"".join(holes[row:k]), "<u8"), held)
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id")[row:k], *emit(flat, bounds)], names)
 
     return run
@@ -434,15 +464,16 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], columns: str, emit) -> Data
     ready = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind_of_id = ready.schema["doc_id"].dataType.simpleString()
     folded = fold_pieces(ready, ranks)
-    common, least = _common(folded, ranks)
+    common, least, order = _common(folded, ranks)
+    packing = Packing(order)
     held = spark.sparkContext.broadcast((uuid.uuid4().hex, *common))
     parts = max(1, -(-(ready.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     dealt = ready.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"), "doc_id", "text")
-    texts = dealt.mapInArrow(_with_holes(held), f"part long, doc_id {kind_of_id}, coded binary, holes binary")
+    texts = dealt.mapInArrow(_with_holes(held, packing), f"part long, doc_id {kind_of_id}, coded binary, holes binary")
     rarer = dealt.select("part", "text").mapInArrow(_rarer(held), "part long, piece binary")
     ids = rarer.join(folded.where((F.col("n") < least) | (F.octet_length("coded") > 1 << 17)).select("piece", "coded"), "piece").select("part", "coded")
     rows = texts.unionByName(ids, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("holes").isNotNull())
-    return rows.mapInArrow(_filled(["doc_id", *(c.split()[0] for c in columns.split(", "))], emit), f"doc_id {kind_of_id}, {columns}")
+    return rows.mapInArrow(_filled(["doc_id", *(c.split()[0] for c in columns.split(", "))], packing, emit), f"doc_id {kind_of_id}, {columns}")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
