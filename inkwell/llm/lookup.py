@@ -24,16 +24,18 @@ class Lookup:
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it isn't held."""
+        return self.values(key, self.slot)
+
+    def values(self, key: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """What ``held``, aligned with the table's places, has for each key; for one that isn't held, its value at a free place."""
         place = (key >> self.shift).astype(np.int64)
         met = self.key[place]
-        out = np.where(met == key, self.slot[place], np.int32(-1))
-        todo = np.flatnonzero((met != key) & (met != 0))
-        place = place[todo]
+        out = held[place]
+        todo = np.flatnonzero(met != key)
+        todo = todo[met[todo] != 0]
         while len(todo):
-            place = (place + 1) & self.mask
-            met = self.key[place]
-            hit = met == key[todo]
-            out[todo[hit]] = self.slot[place[hit]]
-            on = ~hit & (met != 0)
-            todo, place = todo[on], place[on]
+            place[todo] = (place[todo] + 1) & self.mask
+            met = self.key[place[todo]]
+            out[todo] = held[place[todo]]
+            todo = todo[(met != key[todo]) & (met != 0)]
         return out
