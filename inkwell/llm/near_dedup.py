@@ -7,9 +7,12 @@ differing lane, so the index holds each chunk once for each lane it leaves out:
 distance meets under a key. For s >= 0.8, 27 of 70 lanes are four standard deviations above the mean of 14.
 
 Equal sets are one class from the start. Within a key's bucket, members are linked to the least of them (a star, not
-all pairs) and confirmed on full sets. Buckets whose members are then still in several components are finished by
-block pairs: blocks of bounded size, compared by signature distance and confirmed on full sets, of which only new links
-come out. Components are found by star steps over the links.
+all pairs) and confirmed on full sets. In a bucket whose members are then in several components, those outside the largest
+are linked to another member of it, a few times over, which joins most of what belongs together with work that grows
+with the members. What is left is finished exactly. Small buckets compare their members by signature distance, and what
+is near enough is confirmed on full sets; chance agreement of keys makes only such buckets. Large buckets make areas,
+and in an area each member outside the largest component meets all others, by pairs of blocks of bounded size that give
+at most as many links as they have members. Components are found by star steps over the links.
 """
 
 from __future__ import annotations
@@ -19,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import vectext
-from inkwell.llm.common import keep, partitions
+from inkwell.llm.common import keep
 from inkwell.llm.components import components
 
 CHUNKS, LANES = 14, 5
 WIDTH = CHUNKS * LANES
 MOST = 2 * CHUNKS - 1
-BLOCK = 4096
+TURNS = 2  # of stars about further members of the largest component
+SMALL, BLOCK = 64, 1024  # members of a bucket that is compared as it is, and of a block
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -131,23 +136,62 @@ class _Forest(dict):
         return x
 
 
+def _close(lanes: np.ndarray, size: np.ndarray, at: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``others`` can be similar to ``at`` by size and signature."""
+    small, large = np.minimum(size[others], size[at]), np.maximum(size[others], size[at])
+    others = others[100 * small >= percent * large]
+    return others[(lanes[others] != lanes[at]).sum(axis=1) <= MOST]
+
+
+def _within(percent: int):
+    """Rows (key, id, root, n, lanes) sorted by key -> pairs (u, v) of a key's members with different roots that can be similar."""
+
+    def pairs(ids: np.ndarray, roots: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> Iterator[tuple[int, int]]:
+        for x in range(len(ids) - 1):
+            others = np.arange(x + 1, len(ids))
+            for y in _close(lanes, size, x, others[roots[others] != roots[x]], percent).tolist():
+                yield min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []  # the rows of the last key so far
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            key, ids, roots, size = (rows.column(c).to_numpy() for c in ("key", "id", "root", "n"))
+            lanes = _matrix(rows.column("lanes").combine_chunks())
+            cut = np.flatnonzero(np.diff(key)) + 1
+            found = [p for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True) for p in pairs(ids[a:b], roots[a:b], size[a:b], lanes[a:b])]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*left, batch])
+            last = rows.column("key")[-1]
+            done = int(pa.compute.index(rows.column("key"), last).as_py())
+            if done:
+                yield out(rows.slice(0, done))
+            left = rows.slice(done).to_batches()
+        if left:
+            yield out(pa.Table.from_batches(left))
+
+    return run
+
+
 def _block_pair(percent: int):
-    """New links between the members of two blocks (or inside one): at most as many as there are members."""
+    """New links between members outside the largest component (side 0) and all members (side 1): at most as many as rows."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        _, i, j = (k.as_py() for k in key)
         group = group.sort_by("id")
-        ids, roots, block = (group.column(c).to_numpy() for c in ("id", "root", "block"))
+        ids, roots, side, minor = (group.column(c).to_numpy() for c in ("id", "root", "side", "minor"))
         lanes = _matrix(group.column("lanes").combine_chunks())
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("shingles").combine_chunks()]
         size = np.array([len(s) for s in sets])
+        every = np.flatnonzero(side == 1)
         forest, links = _Forest(), []
-        for x in range(len(ids)):
-            other = np.flatnonzero((roots[x + 1 :] != roots[x]) & ((block[x + 1 :] != block[x]) if i != j else True)) + x + 1
-            small, large = np.minimum(size[other], size[x]), np.maximum(size[other], size[x])
-            other = other[100 * small >= percent * large]
-            other = other[(lanes[other] != lanes[x]).sum(axis=1) <= MOST]
-            for y in other.tolist():
+        for x in np.flatnonzero(side == 0).tolist():
+            # of two that are both outside, the smaller id asks
+            others = every[(roots[every] != roots[x]) & (~minor[every] | (ids[every] > ids[x]))]
+            for y in _close(lanes, size, x, others, percent).tolist():
                 a, b = forest.root(int(roots[x])), forest.root(int(roots[y]))
                 if a != b and similar(sets[x], sets[y], percent):
                     forest[a] = b
@@ -170,56 +214,105 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = keep(docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, digest binary, lanes binary"))
     known = sketch.where("digest is not null and doc_id is not null")
-    classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("lanes").alias("lanes")))
-    texts = docs.where("doc_id is not null").withColumn("id", F.col("doc_id"))
-    reps = classes.groupBy("rep").agg(F.min_by("lanes", "digest").alias("lanes"), F.min_by("n", "digest").alias("n"))  # an id may repeat with other texts
+    firsts = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("lanes").alias("lanes")))
+    # an id may repeat with other texts: such an id's classes are told apart by a hash of the digest
+    shared = firsts.groupBy("rep").count().where("count > 1").select("rep")
+    if shared.isEmpty():
+        classes = firsts.withColumn("id", F.col("rep"))
+    else:
+        own = F.when(F.col("many"), F.xxhash64("digest")).otherwise(F.col("rep"))
+        classes = keep(firsts.join(shared.withColumn("many", F.lit(True)), "rep", "left").withColumn("id", own).drop("many"))
+    links = _links(docs, classes, shingle_words, percent)
+    roots = components(links)
+    told = classes.join(roots.withColumnRenamed("u", "id"), "id", "left").select("digest", "id", "rep", F.coalesce("root", "id").alias("root"))
+    # the least doc_id of a component
+    least = told.groupBy("root").agg(F.min("rep").alias("least"))
+    final = told.join(least, "root").select("digest", F.col("least").alias("root"))
+    if not shared.isEmpty() or not _repeated(known).isEmpty():
+        # ids that repeat with several texts tie their components together
+        tied = known.join(_repeated(known), "doc_id", "left_semi").join(final, "digest")
+        tie = components(tied.select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
+        final = final.join(tie.select(F.col("u").alias("root"), F.col("root").alias("whole")), "root", "left").select("digest", F.coalesce("whole", "root").alias("root"))
+    out = sketch.join(final, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _repeated(known: DataFrame) -> DataFrame:
+    """doc_ids that stand on several texts."""
+    return known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
+
 
-    keys = classes.select("rep", "lanes").mapInArrow(_keys, "key long, rep long")
+def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between classes (id, rep, digest, n, lanes) of texts, enough for their components."""
+    texts = docs.where("doc_id is not null")
+    keys = classes.select("id", "lanes").mapInArrow(_keys, "key long, rep long")
     stars = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     bucket = keep(keys.join(stars, "key"))
+    sketches = classes.select("id", "n", "lanes")
+    plain = classes.where("id = rep").select("id")
 
     def set_of(ids: DataFrame) -> DataFrame:
-        """(id) -> (id, shingles): sets of the texts with these ids."""
-        rows = texts.join(ids, "id", "left_semi").select("id", "text")
-        return rows.mapInArrow(_set_bytes(shingle_words), "id long, shingles binary")
-
-    pairs = bucket.where("pivot < rep").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
-    sides = [classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("lanes").alias(f"lanes_{s}")) for s in "uv"]
-    near = pairs.join(sides[0], "u").join(sides[1], "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-    near = keep(near.select("u", "v", "lanes_u", "lanes_v").mapInArrow(_near, "u long, v long"))
-    ids = near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct()
-    sets = set_of(ids)
-    links = near.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
-    links = keep(links.mapInArrow(_confirm(percent), "u long, v long"))
+        """(id) -> (id, shingles): sets of the classes with these ids."""
+        easy = texts.withColumn("id", F.col("doc_id")).join(ids.join(plain, "id", "left_semi"), "id", "left_semi").select("id", "text")
+        sets = easy.mapInArrow(_set_bytes(shingle_words), "id long, shingles binary")
+        hard = ids.join(classes.where("id <> rep").select("id", F.col("rep").alias("doc_id"), "digest"), "id")
+        own = texts.join(hard.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_bytes(shingle_words), "doc_id long, shingles binary")
+        own = own.join(hard, "doc_id").where(F.xxhash64(_digest(F.col("shingles"))) == F.col("id")).select("id", "shingles")
+        return sets.union(own.dropDuplicates(["id"])) if not classes.where("id <> rep").isEmpty() else sets
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of distinct pairs (u, v) whose full sets are similar."""
+        sides = [sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("lanes").alias(f"lanes_{s}")) for s in "uv"]
+        near = pairs.join(sides[0], "u").join(sides[1], "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
+        near = keep(near.select("u", "v", "lanes_u", "lanes_v").mapInArrow(_near, "u long, v long"))
+        sets = set_of(near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct())
+        both = near.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
+        return keep(both.mapInArrow(_confirm(percent), "u long, v long"))
+
+    links = confirmed(bucket.where("pivot < rep").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct())
     roots = components(links)
-
-    labelled = bucket.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = labelled.where("members > 2").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi").select("rep", "pivot", "root").distinct()
-    open_ = open_.join(roots.select(F.col("u").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
-    open_ = keep(open_.select("rep", "root", F.coalesce("pivot_root", "pivot").alias("pivot_root")).distinct())
-    if not open_.isEmpty():
-        links = links.union(_finish(open_, reps, set_of, percent))
+    for turn in range(TURNS + 1):
+        # buckets that are still split, with the largest component in each and one of its members
+        rows = bucket.where("members > 2").join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("key", "rep", "members", F.coalesce("root", "rep").alias("root"))
+        each = rows.groupBy("key", "root").agg(F.count("*").alias("own"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pick"))
+        split = each.groupBy("key").agg(F.max_by(F.struct("root", "pick"), F.struct("own", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        open_ = rows.join(split.select("key", F.col("most.root").alias("major"), F.col("most.pick").alias("pick")), "key")
+        if turn == TURNS:
+            break
+        asked = open_.where("root <> major").select(F.least("rep", "pick").alias("u"), F.greatest("rep", "pick").alias("v")).distinct()
+        more = confirmed(asked.join(bucket.where("pivot < rep").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), ["u", "v"], "left_anti"))
+        if more.isEmpty():
+            continue
+        links = links.union(more)
         roots = components(links)
-    # ids that repeat with several texts tie their classes together
-    twice = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():
-        tied = known.join(twice, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest")
-        roots = components(links.union(tied.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
-    final = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = sketch.join(final, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _finish(open_: DataFrame, reps: DataFrame, set_of, percent: int) -> DataFrame:
-    """Links inside buckets that are still split: block pairs of the groups that their stars make."""
-    group = components(open_.select(F.col("root").alias("u"), F.col("pivot_root").alias("v"))).select(F.col("u").alias("root"), F.col("root").alias("area"))
-    members = open_.select(F.col("rep").alias("id"), "root").distinct().join(group, "root", "left").withColumn("area", F.coalesce("area", "root"))
-    sizes = members.groupBy("area").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    members = members.join(sizes, "area").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    members = keep(members.join(reps.select(F.col("rep").alias("id"), "lanes"), "id"))
+    open_ = keep(open_)
+    if open_.isEmpty():
+        return links
+    few = open_.where(f"members <= {SMALL}").select("key", F.col("rep").alias("id"), "root").join(sketches, "id").repartition("key").sortWithinPartitions("key", "id")
+    links = links.union(confirmed(few.select("key", "id", "root", "n", "lanes").mapInArrow(_within(percent), "u long, v long").distinct()))
+    many = open_.where(f"members > {SMALL}")
+    return links if many.isEmpty() else links.union(_finish(many, sketches, set_of, percent))
+
+
+def _digest(shingles: Column) -> Column:
+    """The digest of a set by its bytes, as _sketch makes it."""
+    return F.udf(lambda raw: hashlib.blake2b(bytes(raw), digest_size=16).digest(), "binary", useArrow=True)(shingles)
+
+
+def _finish(open_: DataFrame, sketches: DataFrame, set_of, percent: int) -> DataFrame:
+    """Links inside large buckets (key, rep, root, major) that are still split."""
+    group = components(open_.select(F.col("root").alias("u"), F.col("major").alias("v")).distinct())
+    members = open_.select(F.col("rep").alias("id"), "root").distinct().join(group.select(F.col("u").alias("root"), F.col("root").alias("area")), "root", "left").withColumn("area", F.coalesce("area", "root"))
+    each = members.groupBy("area", "root").agg(F.count("*").alias("own"))
+    sizes = each.groupBy("area").agg(F.max_by("root", F.struct("own", "root")).alias("major"), F.sum("own").alias("all"), F.max("own").alias("most"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1))
+    sizes = sizes.select("area", "major", blocks(F.col("all") - F.col("most")).alias("rows"), blocks(F.col("all")).alias("columns"))
+    members = keep(members.join(sizes, "area").withColumn("minor", F.col("root") != F.col("major")).join(sketches.select("id", "lanes"), "id"))
     full = members.join(set_of(members.select("id").distinct()), "id")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = full.withColumn("other", other).select("area", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block", "lanes", "shingles")
-    return keep(dealt.groupBy("area", "i", "j").applyInArrow(_block_pair(percent), "u long, v long"))
+    own, other = F.pmod(F.xxhash64("id"), F.col("rows")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("columns"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("area", "i", "j", "side", "id", "root", "minor", "lanes", "shingles")
+    asking = full.where("minor").withColumn("i", own).withColumn("j", upto("columns")).withColumn("side", F.lit(0)).select(*columns)
+    asked = full.withColumn("j", other).withColumn("i", upto("rows")).withColumn("side", F.lit(1)).select(*columns)
+    return keep(asking.union(asked).groupBy("area", "i", "j").applyInArrow(_block_pair(percent), "u long, v long"))
