@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +85,11 @@ def poisson_weight(*parts: Column) -> Column:
     for k in reversed(range(len(POISSON))):
         out = F.when(u < POISSON[k], k).otherwise(out)
     return out
+
+
+def poisson_weights(seed: int, repetitions: int, names: list[str]) -> np.ndarray:
+    """The same weights in numpy (repetitions x names): poisson_weight of seed, repetition and name."""
+    heads = [f"{seed}:{rep}:".encode() for rep in range(repetitions)]
+    told = [str(name).encode() for name in names]
+    raw = b"".join(hashlib.md5(h + t).digest()[:4] for h in heads for t in told)
+    return np.searchsorted(POISSON, np.frombuffer(raw, ">u4") / float(1 << 32), side="right").reshape(repetitions, len(told)).astype(float)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell import profiles as P
 
 _BLANK = r"[^\S\n]*+"  # white space inside a line
-_FENCE = rf"(?Um)^{_BLANK}(?:```|~~~)[^\n]*(?:\n|\z)"
+_FENCE = rf"(?Umd)^{_BLANK}(?:```|~~~)[^\n]*(?:\n|\z)"
 _BOUNDARY = rf"{_BLANK}|{_BLANK}#{{1,6}}[^\S\n]+\S[^\n]*|{_BLANK}\|[^\n]*|{_BLANK}(?:[-*_]{_BLANK}){{3,}}+"
 
 
 def strip(text: Column) -> Column:
-    """Without white space, U+3000 included, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space (U+3000 and the separators U+001C to U+001F included) at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def valid(text: Column, drop: bool = False) -> Column:
@@ -46,9 +48,9 @@ def paragraphs(text: Column, profile: P.Profile) -> Column:
     pieces = F.filter(F.split(text, _FENCE, -1), lambda _, i: i % 2 == 0)
     body = F.array_join(pieces, "")
     if profile.line_is_paragraph:
-        blocks = F.filter(F.split(body, "\n", -1), lambda line: ~line.rlike(rf"(?U)^(?:{_BOUNDARY})$"))
+        blocks = F.filter(F.split(body, "\n", -1), lambda line: ~line.rlike(rf"(?Ud)^(?:{_BOUNDARY})$"))
     else:
-        blocks = F.split(body, rf"(?Um)(?:^(?:{_BOUNDARY})(?:\n|\z))++", -1)
+        blocks = F.split(body, rf"(?Umd)(?:^(?:{_BOUNDARY})(?:\n|\z))++", -1)
 
     def sentences(line: Column) -> Column:
         clean = clean_inline(F.regexp_replace(F.regexp_replace(line, f"(?U){P.LIST_ITEM}", ""), f"(?U){P.QUOTE}", ""))
@@ -70,13 +72,29 @@ def last_bigram(tokens: Column) -> Column:
     return F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - 1, F.lit(1)), F.lit(2)), "|")
 
 
+TOKEN = "struct<surface:string,pos1:string,pos2:string,lemma:string,pron:string>"
+#: A morphological analyser: a text's tokens as (surface, pos1, pos2, lemma, pron), each but the first may be None.
+Analyser = Callable[[str], Iterable[tuple]]
+
+
+def analysed(texts: Column, analyse: Analyser) -> Column:
+    """array<string> -> array<array<TOKEN>> by a pluggable analyser, in Arrow batches; nulls have no tokens."""
+    run = F.udf(lambda every: [[tuple(t) for t in analyse(x)] if x is not None else [] for x in every or []], f"array<array<{TOKEN}>>", useArrow=True)
+    return run(texts)
+
+
+def endings(tokens: Column) -> Column:
+    """"surface/pos1" of each of an array of tokens, as sentence endings are told apart."""
+    return F.transform(tokens, lambda t: F.concat_ws("/", t["surface"], F.coalesce(t["pos1"], F.lit(""))))
+
+
 def content_words(tokens: Column) -> Column:
     """Lemmas of content words of array<struct<surface, pos1, pos2, lemma, pron>>; the surface where no lemma is known."""
     lemma = lambda t: F.coalesce(F.nullif(F.nullif(t["lemma"], F.lit("*")), F.lit("")), t["surface"])
     stop = F.array(*map(F.lit, P.STOP_WORDS))
 
     def counts(t: Column) -> Column:
-        noun_out = (t["pos1"] == "名詞") & F.coalesce(t["pos2"], F.lit("")).isin(*P.EXCLUDED_NOUNS)
+        noun_out = (t["pos1"] == P.NOUN) & F.coalesce(t["pos2"], F.lit("")).isin(*P.EXCLUDED_NOUNS)
         verb_out = (t["pos1"] == "動詞") & (F.coalesce(t["pos2"], F.lit("")) == P.DEPENDENT)
         short = (F.length(lemma(t)) == 1) & ~lemma(t).rlike(r"^\p{L}$")
         return t["pos1"].isin(*P.CONTENT_POS) & ~noun_out & ~verb_out & ~F.array_contains(stop, lemma(t)) & ~F.array_contains(stop, t["surface"]) & ~short
@@ -86,12 +104,12 @@ def content_words(tokens: Column) -> Column:
 
 def content_morphemes(tokens: Column) -> Column:
     """Tokens other than punctuation and closing marks."""
-    return F.filter(tokens, lambda t: ~t["pos1"].isin(*P.PUNCTUATION_POS) & ~t["surface"].isin(*P.TRAILING_CLUTTER))
+    return F.filter(tokens, lambda t: ~F.coalesce(t["pos1"].isin(*P.PUNCTUATION_POS), F.lit(False)) & ~t["surface"].isin(*P.TRAILING_CLUTTER))
 
 
 def morae(tokens: Column) -> Column:
     """Characters of the readings but for small kana; punctuation and words without a reading count 0."""
-    sounded = F.filter(tokens, lambda t: ~t["pos1"].isin(*P.PUNCTUATION_POS) & t["pron"].isNotNull())
+    sounded = F.filter(tokens, lambda t: ~F.coalesce(t["pos1"].isin(*P.PUNCTUATION_POS), F.lit(False)) & (F.coalesce(t["pron"], F.lit("*")) != "*"))
     return F.aggregate(sounded, F.lit(0), lambda n, t: n + F.length(F.regexp_replace(t["pron"], f"[{P.SMALL_KANA}]", "")))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,27 +29,54 @@ def group_effects(rows: DataFrame, group: str) -> DataFrame:
     return sides.withColumn("cohens_d", stats.cohens_d(*(F.col(c) for c in ("n1", "mean1", "var1", "n0", "mean0", "var0")))).drop("var1", "var0")
 
 
-def effect_ci(rows: DataFrame, group: str, repetitions: int, seed: int) -> DataFrame:
-    """Percentile interval of Cohen's d per metric, rows (doc_id, metric, value, group) weighted Poisson(1) by hash."""
-    weight = stats.poisson_weight(F.lit(str(seed)), F.col("rep").cast("string"), F.col("doc_id").cast("string"))
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("w", weight).where("w > 0")
-    side = lambda s, v: F.sum(F.when(F.col(group) == s, v))
-    w, v = F.col("w"), F.col("value")
-    sums = drawn.groupBy("metric", "rep").agg(*(side(s, x).alias(f"{n}{k}") for k, s in ((1, F.lit(True)), (0, F.lit(False))) for n, x in (("n", w), ("s", w * v), ("q", w * v * v))))
-    m = lambda k: F.col(f"s{k}") / F.col(f"n{k}")
-    var = lambda k: F.greatest(F.col(f"q{k}") - F.col(f"n{k}") * m(k) * m(k), F.lit(0.0)) / F.nullif(F.col(f"n{k}") - 1, F.lit(0))
+def effect_ci(rows: DataFrame, metrics: tuple[str, ...], group: str, repetitions: int, seed: int) -> DataFrame:
+    """Percentile interval of Cohen's d per metric, documents (doc_id, group, metrics) weighted Poisson(1) by hash.
+
+    A task makes the weights of its documents once for all metrics and gives its sums for each repetition, so what is
+    shuffled doesn't grow with the documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, repetitions, 3 * len(metrics)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                weight = stats.poisson_weights(seed, repetitions, part.column(0).to_pylist())
+                value = np.column_stack([part.column(m).to_numpy(zero_copy_only=False).astype(float) for m in metrics])
+                known = ~np.isnan(value)
+                value = np.where(known, value, 0.0)
+                side = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for k, own in enumerate((~side, side)):
+                    sums[k] += weight[:, own] @ np.concatenate([known, value, value * value], axis=1)[own]
+        if sums[:, :, : len(metrics)].any():
+            for i, metric in enumerate(metrics):
+                cells = {f"{n}{k}": sums[k, :, j * len(metrics) + i] for k in (1, 0) for j, n in enumerate("nsq")}
+                yield pa.RecordBatch.from_pydict({"metric": [metric] * repetitions, "rep": np.arange(repetitions, dtype=np.int32), **cells})
+
+    names = ("n1", "s1", "q1", "n0", "s0", "q0")
+    drawn = rows.where(F.col(group).isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), group, *metrics).mapInArrow(run, "metric string, rep int, " + ", ".join(f"{n} double" for n in names))
+    sums = drawn.groupBy("metric", "rep").agg(*(F.sum(n).alias(n) for n in names))
+    m = lambda k: F.col(f"s{k}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))
+    var = lambda k: F.greatest(F.col(f"q{k}") - F.col(f"n{k}") * m(k) * m(k), F.lit(0.0)) / F.nullif(F.col(f"n{k}") - 1, F.lit(0.0))
     each = sums.select("metric", stats.cohens_d(F.col("n1"), m(1), var(1), F.col("n0"), m(0), var(0)).alias("d"))
     return each.groupBy("metric").agg(F.percentile("d", F.lit(0.025)).alias("d_ci_lo"), F.percentile("d", F.lit(0.975)).alias("d_ci_hi"))
 
 
+BINS = 64  # of the values of a rank test, each ranked in its own task
+
+
 def mann_whitney(rows: DataFrame, group: str, *keys: str) -> DataFrame:
     """Per key: n1, n0, U of the true group, two-sided p (asymptotic, ties and continuity corrected), rank-biserial.
 
-    Ranks are sums over distinct values with their counts, so ties are aggregated before the window over values.
+    Ranks are sums over distinct values with their counts, so ties are aggregated first. Values are cut into BINS ranges;
+    a value's rank is the number of rows in lower ranges and of lower rows in its own, so no task ranks a whole key.
     """
     counts = rows.groupBy(*keys, "value").agg(F.count_if(F.col(group)).alias("t1"), F.count("*").alias("t"))
-    below = F.sum("t").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("rank", below - F.col("t") + (F.col("t") + 1) / 2)
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", F.array(*(F.lit(i / BINS) for i in range(1, BINS))), F.lit(1000)).alias("cuts"))
+    cut = counts.join(cuts, [*keys]).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    lower = cut.groupBy(*keys, "bin").agg(F.sum("t").alias("own")).withColumn("lower", F.sum("own").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("own")).drop("own")
+    below = F.sum("t").over(Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = cut.withColumn("below", below).join(lower, [*keys, "bin"]).withColumn("rank", F.col("lower") + F.col("below") - F.col("t") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n0"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum((F.pow("t", F.lit(3)) - F.col("t"))).alias("ties"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
@@ -77,22 +109,94 @@ def ratio(models: DataFrame, *keys: str) -> DataFrame:
     return each.select(*keys, F.when((F.col("k") == F.col("m")) & (F.col("w") > 0), F.col("b") / F.col("w")).alias("ratio"))
 
 
-def word_ratio(rows: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
-    """The same for binary words from counts: rows (keys, word, model), sizes (keys, model, n); absent models count 0."""
-    k = rows.groupBy(*keys, "word", "model").agg(F.count("*").alias("k"))
-    every = k.select(*keys, "word").distinct().join(sizes, [*keys]) if keys else k.select("word").distinct().join(F.broadcast(sizes))
-    full = every.join(k, [*keys, "word", "model"], "left").withColumn("mean", F.coalesce("k", F.lit(0)) / F.col("n"))
-    sd = F.when(F.col("n") > 1, F.sqrt(F.col("mean") * (1 - F.col("mean")) * F.col("n") / (F.col("n") - 1)))
-    out = full.withColumn("sd", sd).groupBy(*keys, "word").agg(F.stddev_samp("mean").alias("b"), F.avg("sd").alias("w"), F.count("sd").alias("s"), F.count("*").alias("m"), F.sum(F.coalesce("k", F.lit(0))).alias("docs"))
-    return out.select(*keys, "word", "docs", F.when((F.col("s") == F.col("m")) & (F.col("w") > 0), F.col("b") / F.col("w")).alias("ratio"))
+MOST_MODELS = 1000
+
+
+def model_sizes(models: DataFrame) -> dict[str, int]:
+    """Documents of each model, by name; models are few, which is checked."""
+    rows = models.groupBy("model").count().where("model is not null").orderBy("model").limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    return {r["model"]: r["count"] for r in rows}
+
+
+def word_ratio(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(word, docs, ratio) of binary words from their counts: rows (word, model); a model without the word counts 0."""
+    found = rows.groupBy("word").agg(F.count("*").alias("docs"), *(F.count_if(F.col("model") == m).alias(f"k{i}") for i, m in enumerate(sizes)))
+    k = F.array(*(F.struct(F.col(f"k{i}").cast("double").alias("k"), F.lit(float(n)).alias("n")) for i, n in enumerate(sizes.values())))
+    means = F.transform(k, lambda x: x["k"] / x["n"])
+    sds = F.transform(k, lambda x: F.when(x["n"] > 1, F.sqrt(x["k"] / x["n"] * (1 - x["k"] / x["n"]) * x["n"] / (x["n"] - 1))))
+    m = float(len(sizes))
+    average = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + x) / m
+    spread = found.select("word", "docs", means.alias("means"), sds.alias("sds")).withColumn("mean", average(F.col("means"))).withColumn("w", average(F.col("sds")))
+    between = F.sqrt(F.aggregate("means", F.lit(0.0), lambda t, x: t + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.lit(m - 1), F.lit(0.0)))
+    return spread.select("word", "docs", F.when(F.col("w") > 0, between / F.col("w")).alias("ratio"))
 
 
 def shuffled_labels(rows: DataFrame, repetitions: int, seed: int) -> DataFrame:
-    """(doc_id, model) -> (rep, doc_id, model) with the models dealt anew in each repetition, group sizes unchanged."""
-    fixed = rows.select("model", F.row_number().over(Window.orderBy("model", "doc_id")).alias("nth"))
+    """Rows (doc_id, model, ...) in each repetition (rep), with the models dealt anew, group sizes unchanged.
+
+    In a repetition the documents, in the order of a hash, are dealt to the models one after another. Hashes are cut into
+    bins; only where a model's share ends inside a bin are rows ordered, by bin. All others get their model where they
+    stand, so nothing but those bins is shuffled.
+    """
+    sizes = model_sizes(rows)
+    total = sum(sizes.values())
+    bins = 1 << max(min((total // 32).bit_length(), 16), 2)
     key = stats.hash_index(F.lit(str(seed)), F.col("rep").cast("string"), F.col("doc_id").cast("string"))
-    dealt = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")).withColumn("key", key)
-    return dealt.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("key", "doc_id"))).join(fixed, "nth").select("rep", "doc_id", "model")
+    rest = [c for c in rows.columns if c != "model"]
+    dealt = rows.where("model is not null").select(*rest, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")).withColumn("key", key).withColumn("bin", F.floor(F.col("key") * bins / float(1 << 32)))
+    upto = F.sum("n").over(Window.partitionBy("rep").orderBy("bin"))
+    filled = dealt.groupBy("rep", "bin").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    ends = np.cumsum(list(sizes.values()))[:-1].tolist()
+    # for each model but the last, the bin where its share ends and how many rows of that bin belong before the end
+    inside = lambda end: F.when((F.col("upto") > end) & (F.col("upto") - F.col("n") <= end), F.struct("bin", (F.lit(end) - F.col("upto") + F.col("n")).alias("need")))
+    bounds = filled.groupBy("rep").agg(F.array(*(F.max(inside(e)) for e in ends)).cast("array<struct<bin:bigint,need:bigint>>").alias("bounds"))
+    marked = dealt.join(F.broadcast(bounds), "rep")  # a row for each repetition
+    edge = F.exists("bounds", lambda b: b["bin"] == F.col("bin"))
+    names = F.array(*map(F.lit, sizes))
+    plain = marked.where(~edge).withColumn("model", F.get(names, F.size(F.filter("bounds", lambda b: b["bin"] < F.col("bin")))))
+    place = F.row_number().over(Window.partitionBy("rep", "bin").orderBy("key", "doc_id"))
+    torn = marked.where(edge).withColumn("place", place)
+    torn = torn.withColumn("model", F.get(names, F.size(F.filter("bounds", lambda b: (b["bin"] < F.col("bin")) | ((b["bin"] == F.col("bin")) & (b["need"] < F.col("place")))))))
+    columns = [*rest, "rep", "model"]
+    return plain.select(columns).unionByName(torn.select(columns))
+
+
+def shuffled_ratios(rows: DataFrame, metrics: tuple[str, ...], repetitions: int, seed: int) -> DataFrame:
+    """(metric, rep, ratio) under shuffled models, rows (doc_id, model, metrics)."""
+    dealt = shuffled_labels(rows.select("doc_id", "model", *metrics), repetitions, seed)
+    each = dealt.groupBy("rep", "model").agg(*(f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("a", F.avg), ("s", F.stddev_samp))))
+    long = each.select("rep", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"a_{m}").alias("mean"), F.col(f"s_{m}").alias("sd")) for m in metrics))).alias("x")).select("rep", "x.*").where("mean is not null")
+    out = long.groupBy("metric", "rep").agg(F.stddev_samp("mean").alias("b"), F.avg("sd").alias("w"), F.count("sd").alias("k"), F.count("*").alias("m"))
+    return out.select("metric", "rep", F.when((F.col("k") == F.col("m")) & (F.col("w") > 0), F.col("b") / F.col("w")).alias("ratio"))
+
+
+def word_permutation(ratios: DataFrame, sizes: dict[str, int], repetitions: int, seed: int) -> DataFrame:
+    """Adds perm_p and perm_z to words (word, docs, ratio): the models' labels shuffled among the documents.
+
+    Of the ``docs`` documents with a word, a shuffle gives the models multivariate hypergeometric numbers. So the null
+    ratios depend on ``docs`` alone and are made once for each distinct value of it.
+    """
+    n = np.array(list(sizes.values()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pairs in batches:
+            out = []
+            for docs, group in pairs.groupby("docs", sort=False):
+                rng = np.random.default_rng([seed, int(docs)])
+                mean = rng.multivariate_hypergeometric(n, int(docs), repetitions) / n
+                within = np.sqrt(mean * (1 - mean) * n / np.maximum(n - 1, 1)).mean(axis=1)
+                null = mean.std(axis=1, ddof=1)[within > 0] / within[within > 0]
+                sd = null.std(ddof=1) if len(null) > 1 else 0.0
+                over = [(null >= r * (1 - 1e-9)).sum() for r in group["ratio"]]
+                z = (group["ratio"] - null.mean()) / sd if sd > 0 else np.nan
+                out.append(group.assign(perm_p=(np.array(over) + 1) / (repetitions + 1), perm_z=z))
+            yield pd.concat(out) if out else pd.DataFrame({"docs": [], "ratio": [], "perm_p": [], "perm_z": []})
+
+    distinct = ratios.where("ratio is not null").select("docs", "ratio").distinct().repartition("docs").sortWithinPartitions("docs")
+    told = distinct.mapInPandas(run, "docs long, ratio double, perm_p double, perm_z double").withColumn("perm_z", F.nullif(F.col("perm_z"), F.lit(float("nan"))))
+    return ratios.join(told, ["docs", "ratio"], "left").select("word", "docs", "ratio", "perm_p", "perm_z")
 
 
 def permutation(observed: DataFrame, null: DataFrame, key: str) -> DataFrame:

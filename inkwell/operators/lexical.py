@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +13,22 @@ from inkwell.functions import stats, text
 from inkwell.profiles import ALPHA, LATIN, Profile
 
 
-def doc_words(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """doc_id, n_tokens (with repeats) and the sorted distinct words."""
-    return docs.select("*", text.words(text.clean_lexical(F.col("text")), profile).alias("_tokens")).select(*(c for c in docs.columns if c != "text"), F.size("_tokens").alias("n_tokens"), F.array_sort(F.array_distinct("_tokens")).alias("words"))
+def doc_words(docs: DataFrame, profile: Profile = LATIN, analyse: text.Analyser | None = None) -> DataFrame:
+    """The columns of docs but text, with n_tokens (repeats counted) and the sorted distinct words.
+
+    A profile that needs an analyser counts the lemmas of content words among its tokens. Columns named n_tokens or words
+    give way. A null text has no words (n_tokens 0).
+    """
+    others = [c for c in docs.columns if c not in ("text", "n_tokens", "words")]
+    clean = F.coalesce(text.clean_lexical(F.col("text")), F.lit(""))
+    if analyse is not None:
+        tokens = text.content_words(F.get(text.analysed(F.array(clean), analyse), F.lit(0)))
+    elif profile.analysed:
+        raise ValueError(f"profile {profile.name} needs an analyser")
+    else:
+        tokens = text.words(clean, profile)
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("")).alias("row"), tokens.alias("tokens"))
+    return held.select(*(F.col(f"row.`{c}`") for c in others), F.size("tokens").alias("n_tokens"), F.array_sort(F.array_distinct("tokens")).alias("words"))
 
 
 def incidence(words: DataFrame, *keys: str) -> DataFrame:
@@ -46,37 +63,54 @@ def excess(words: DataFrame, label: str, least: int = 5) -> DataFrame:
     return out.withColumn("direction", direction).withColumn("sig_fdr", F.col("q_fdr") < ALPHA).withColumn("sig_bonferroni", F.col("p_bonferroni") < ALPHA)
 
 
-def bootstrap_ci(words: DataFrame, label: str, universe: DataFrame, repetitions: int, seed: int) -> DataFrame:
-    """2.5 and 97.5 percentiles of ratio and gap of the universe's words, documents of both classes resampled.
+def bootstrap_ci(counts: DataFrame, n1: int, n0: int, repetitions: int, seed: int) -> DataFrame:
+    """Adds 2.5 and 97.5 percentiles of ratio and gap to words (word, a, c), documents of both classes drawn anew.
 
-    A document's weight in a repetition is Poisson(1) by hash: rows are weighted where they are, not numbered or moved.
+    Of n documents drawn with replacement, those with a word that a of n hold are binomial (n, a / n). So a word's interval
+    depends on its two counts alone, and is made once for each distinct pair of counts: the work does not grow with the
+    documents. An empty class gives nulls.
     """
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")
-    weight = stats.poisson_weight(F.lit(str(seed)), F.col("rep").cast("string"), F.col("doc_id").cast("string"))
-    drawn = words.select("doc_id", label, "words", reps).withColumn("w", weight).where("w > 0")
-    totals = drawn.groupBy("rep").agg(F.sum(F.when(F.col(label), F.col("w")).otherwise(0)).alias("n1"), F.sum(F.when(F.col(label), 0).otherwise(F.col("w"))).alias("n0"))
-    rows = incidence(words, label).join(universe.select("word"), "word", "left_semi")
-    weights = drawn.select("doc_id", "rep", "w")
-    hits = rows.join(weights, "doc_id").groupBy("rep", "word").agg(F.sum(F.when(F.col(label), F.col("w")).otherwise(0)).alias("a"), F.sum(F.when(F.col(label), 0).otherwise(F.col("w"))).alias("c"))
-    every = universe.select("word", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep"))
-    full = every.join(hits, ["rep", "word"], "left").join(totals, "rep")
-    p = (F.coalesce("a", F.lit(0)) + 1) / (F.col("n1") + 1)
-    q = (F.coalesce("c", F.lit(0)) + 1) / (F.col("n0") + 1)
-    both = full.select("word", (p / q).alias("r"), (p - q).alias("d"))
-    ends = [F.percentile(v, F.lit(x)).alias(f"{n}_ci_{e}") for v, n in (("r", "r"), ("d", "delta")) for x, e in ((0.025, "low"), (0.975, "high"))]
-    return both.groupBy("word").agg(*ends)
+    names = ["r_ci_low", "r_ci_high", "delta_ci_low", "delta_ci_high"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pairs in batches:
+            ends = np.full((len(pairs), 4), np.nan)
+            for i, (a, c) in enumerate(zip(pairs["a"], pairs["c"], strict=True)):
+                rng = np.random.default_rng([seed, int(a), int(c)])
+                p = (rng.binomial(n1, a / n1, repetitions) + 1) / (n1 + 1)
+                q = (rng.binomial(n0, c / n0, repetitions) + 1) / (n0 + 1)
+                ends[i] = [*np.percentile(p / q, [2.5, 97.5]), *np.percentile(p - q, [2.5, 97.5])]
+            yield pd.concat([pairs, pd.DataFrame(ends, columns=names, index=pairs.index)], axis=1)
+
+    pairs = counts.select("a", "c").distinct()
+    if n1 and n0:
+        return counts.join(pairs.mapInPandas(run, "a long, c long, " + ", ".join(f"{n} double" for n in names)), ["a", "c"])
+    return counts.select("*", *(F.lit(None).cast("double").alias(n) for n in names))
+
+
+def excludes_one() -> Column:
+    """Whether a word's interval of the ratio lies on one side of 1."""
+    return (F.col("r_ci_low") > 1) | (F.col("r_ci_high") < 1)
 
 
 def survival(tested: DataFrame, prior: DataFrame) -> DataFrame:
-    """One row of counters: prior findings (word, old_excess_score, old_sig) that document-level tests confirm."""
+    """One row of counters: prior findings (word, old_excess_score, old_sig) that document-level tests confirm.
+
+    With a column excludes_one (of bootstrap_ci) among ``tested``, intervals and all three criteria are counted as well.
+    """
     old_direction = F.when(F.col("old_excess_score") > 0, "excess").otherwise("deficit")
-    joined = tested.join(prior, "word").withColumn("same", F.col("direction") == old_direction)
+    joined = tested.join(prior, "word").withColumn("old_direction", old_direction).withColumn("same", F.col("direction") == F.col("old_direction"))
     n = lambda condition, name: F.count_if(condition).alias(name)
-    old = F.col("old_sig")
-    return joined.agg(
-        F.count("*").alias("tested"), n(old, "old_significant"), n(old & (old_direction == "excess"), "old_excess"), n("sig_fdr", "fdr"), n("sig_bonferroni", "bonferroni"), n(old & F.col("sig_fdr") & F.col("same"), "survives_fdr"), n(old & F.col("sig_bonferroni") & F.col("same"), "survives_bonferroni"),
-        n(old & ~F.col("same"), "direction_changed"), n(~old & F.col("sig_fdr"), "newly_significant"), n(~old & F.col("sig_fdr") & F.col("same"), "newly_significant_same_direction"),
-    )
+    old, same, rose = F.col("old_sig"), F.col("same"), F.col("old_direction") == "excess"
+    lives = old & F.col("sig_fdr") & same
+    counters = [
+        F.count("*").alias("tested"), n(old, "old_significant"), n(old & rose, "old_excess"), n(old & ~rose, "old_deficit"), n("sig_fdr", "fdr"), n("sig_bonferroni", "bonferroni"),
+        n(lives, "survives_fdr"), n(lives & rose, "survives_fdr_excess"), n(lives & ~rose, "survives_fdr_deficit"), n(old & F.col("sig_bonferroni") & same, "survives_bonferroni"),
+        n(old & ~same, "direction_changed"), n(~old & F.col("sig_fdr"), "newly_significant"), n(~old & F.col("sig_fdr") & same, "newly_significant_same_direction"),
+    ]
+    if "excludes_one" in tested.columns:
+        counters += [n(old & F.col("excludes_one") & same, "survives_ci"), n(lives & F.col("sig_bonferroni") & F.col("excludes_one"), "survives_all")]
+    return joined.agg(*counters)
 
 
 def missing_words(docs: DataFrame, words: DataFrame) -> DataFrame:

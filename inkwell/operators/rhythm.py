@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats, text
-from inkwell.profiles import LATIN, MATTR_WINDOW, MIN_PARAGRAPHS, MIN_SENTENCES, Profile
+from inkwell.profiles import LATIN, MATTR_WINDOW, MIN_PARAGRAPHS, MIN_SENTENCES, NOUN, Profile
 
 METRICS = (
     "sent_len_char_mean", "sent_len_char_sd", "sent_len_char_cv", "sent_len_mora_mean", "sent_len_mora_sd", "sent_len_mora_cv",
-    "burstiness_char", "burstiness_mora", "para_sent_cv", "comma_per_sentence", "phrase_per_sentence", "ending_bigram_ttr", "mattr20",
+    "burstiness_char", "burstiness_mora", "para_sent_cv", "comma_per_sentence", "phrase_per_sentence", "noun_ending_rate", "ending_bigram_ttr", "mattr20",
 )
 
 
@@ -40,20 +40,45 @@ def mattr(sequence: Column, window: int = MATTR_WINDOW) -> Column:
     return F.when(n > window, _mean(ratios)).when(n > 0, F.size(F.array_distinct(sequence)) / n)
 
 
-def metrics(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """A row for each document with counts, ``included`` and METRICS; metrics are null below MIN_SENTENCES sentences."""
-    others = [c for c in docs.columns if c != "text"]
-    parsed = docs.select(*others, F.coalesce(text.paragraphs(F.col("text"), profile), F.array().cast("array<array<struct<text:string,is_list:boolean>>>")).alias("paras"))
-    sentences = parsed.withColumn("sents", F.flatten("paras"))
-    prose = F.filter("sents", lambda s: ~s["is_list"])
-    tokens = F.transform(prose, lambda s: text.words(s["text"], profile))
-    seen = sentences.select(
-        *others, F.size("paras").alias("n_paragraphs"), F.size("sents").alias("n_sentences"), F.size(prose).alias("n_sentences_prose"),
-        F.transform("sents", lambda s: F.length(F.translate(s["text"], " 　", "")).cast("double")).alias("chars"), F.transform("sents", lambda s: text.syllables(s["text"]).cast("double")).alias("moras"),
+_SENTENCE = "struct<text:string,is_list:boolean>"
+
+
+def metrics(docs: DataFrame, profile: Profile = LATIN, analyse: text.Analyser | None = None) -> DataFrame:
+    """A row for each document: the columns of docs but text, counts, ``included`` and METRICS.
+
+    Metrics are null below MIN_SENTENCES sentences. ``analyse`` gives the tokens of a sentence: then morae are those of the
+    readings, endings are the last two content morphemes with their parts of speech, and noun_ending_rate is the share of
+    sentences that end in a noun. Without it these are null for a profile that needs an analyser; LATIN takes runs of vowels
+    and the last two words, and has no noun-ending rate. A null text has no sentences. Columns that are named like a result
+    give way to it.
+    """
+    results = ("n_paragraphs", "n_sentences", "n_sentences_prose", "included", *METRICS, "n_endings", "window_used")
+    others = [c for c in docs.columns if c != "text" and c not in results]
+    row = F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("")).alias("row")
+    parsed = docs.select(row, F.coalesce(text.paragraphs(F.col("text"), profile), F.array().cast(f"array<array<{_SENTENCE}>>")).alias("paras"))
+    parsed = parsed.withColumn("sents", F.flatten("paras"))
+    told = analyse is not None
+    unknown = profile.analysed and not told
+    if told:
+        parsed = parsed.withColumn("tokens", text.analysed(F.transform("sents", lambda s: s["text"]), analyse))
+        moras = F.transform("tokens", lambda t: text.morae(t).cast("double"))
+        prose_tokens = F.transform(F.filter(F.arrays_zip("sents", "tokens"), lambda x: ~x["sents"]["is_list"]), lambda x: text.content_morphemes(x["tokens"]))
+        finals = F.filter(prose_tokens, lambda t: F.size(t) > 0)
+        ends = F.transform(finals, lambda t: text.last_bigram(text.endings(t)))
+        nouns = F.size(F.filter(finals, lambda t: F.element_at(t, -1)["pos1"] == NOUN))
+    else:
+        moras = F.transform("sents", lambda s: text.syllables(s["text"]).cast("double"))
+        words = F.transform(F.filter("sents", lambda s: ~s["is_list"]), lambda s: text.words(s["text"], profile))
+        ends = F.transform(F.filter(words, lambda t: F.size(t) > 0), text.last_bigram)
+        nouns = F.lit(None).cast("int")
+    if unknown:
+        moras, ends = F.array().cast("array<double>"), F.array().cast("array<string>")
+    seen = parsed.select(
+        "row", F.size("paras").alias("n_paragraphs"), F.size("sents").alias("n_sentences"), F.size(F.filter("sents", lambda s: ~s["is_list"])).alias("n_sentences_prose"),
+        F.transform("sents", lambda s: F.length(F.translate(s["text"], " 　", "")).cast("double")).alias("chars"), moras.alias("moras"),
         F.transform("paras", lambda p: F.size(p).cast("double")).alias("para_sizes"),
         F.aggregate("sents", F.lit(0), lambda t, s: t + F.length(s["text"]) - F.length(F.translate(s["text"], profile.commas, ""))).alias("commas"),
-        F.array_join(F.transform("sents", lambda s: s["text"]), "").alias("joined"),
-        F.transform(F.filter(tokens, lambda t: F.size(t) > 0), text.last_bigram).alias("endings"),
+        F.array_join(F.transform("sents", lambda s: s["text"]), "").alias("joined"), ends.alias("ends"), nouns.alias("nouns"),
     )
     for name in ("char", "mora"):
         seen = seen.withColumn(f"m_{name}", _mean(F.col(f"{name}s")))
@@ -61,6 +86,7 @@ def metrics(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
     seen = seen.withColumn("m_para", _mean(F.col("para_sizes")))
     ok = F.col("n_sentences") >= MIN_SENTENCES
     prose_ok = ok & (F.col("n_sentences_prose") >= MIN_SENTENCES)
+    n_ends = F.size("ends")
     phrase = (F.length("joined") - F.length(F.replace(F.col("joined"), F.lit(profile.phrase)))) / len(profile.phrase)
     values = {}
     for name in ("char", "mora"):
@@ -70,11 +96,12 @@ def metrics(docs: DataFrame, profile: Profile = LATIN) -> DataFrame:
     values["comma_per_sentence"] = F.col("commas") / F.col("n_sentences")
     values["phrase_per_sentence"] = phrase / F.col("n_sentences")
     out = [F.when(ok, values[k]).alias(k) for k in METRICS if k in values]
-    ends = F.size("endings")
-    out.append(F.when(prose_ok, F.size(F.array_distinct("endings")) / F.nullif(ends, F.lit(0))).alias("ending_bigram_ttr"))
-    gate = ends >= MIN_SENTENCES
-    out += [F.when(gate, mattr(F.col("endings"))).alias("mattr20"), ends.alias("n_endings"), F.when(gate, F.least(ends, F.lit(MATTR_WINDOW))).alias("window_used")]
-    return seen.select(*others, "n_paragraphs", "n_sentences", "n_sentences_prose", ok.cast("int").alias("included"), *out)
+    out.append(F.when(prose_ok, F.col("nouns") / F.nullif(n_ends, F.lit(0))).alias("noun_ending_rate"))
+    out.append(F.when(prose_ok, F.size(F.array_distinct("ends")) / F.nullif(n_ends, F.lit(0))).alias("ending_bigram_ttr"))
+    gate = n_ends >= MIN_SENTENCES
+    out += [F.when(gate, mattr(F.col("ends"))).alias("mattr20"), n_ends.alias("n_endings"), F.when(gate, F.least(n_ends, F.lit(MATTR_WINDOW))).alias("window_used")]
+    made = F.struct("n_paragraphs", "n_sentences", "n_sentences_prose", ok.cast("int").alias("included"), *out).alias("made")
+    return seen.select("row", made).select(*(F.col(f"row.`{c}`") for c in others), *(F.col(f"made.{c}") for c in results))
 
 
 def covariates(rows: DataFrame) -> DataFrame:

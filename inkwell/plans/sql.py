@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from inkwell.functions.stats import ERFC, POISSON
 
+#: Fixed values, as in the profiles: Markdown noise and line rules, spelled for this engine.
 MODELS = "('src0','src1','src2','src3','src4','src5','src6')"
+#: Fixed values, as in the profiles: Markdown noise and line rules, spelled for this engine.
 NOISE = r"```[\s\S]*?```|`[^`]+`|!\[.*?\]\(.*?\)|\[.*?\]\(.*?\)|#{1,6}\s|[*_~`>|]"
-LIST_ITEM, QUOTE = r"^\s*(?:[-*+]\s+|[0-9]{1,3}[.)]\s+)", r"^\s*>+\s?"
+LIST_ITEM, QUOTE = r"^\s*(?:[-*+]\s+|\p{Nd}{1,3}[.)]\s+)", r"^\s*>+\s?"
 BOUNDARY = r"\s*|\s*#{1,6}\s+\S.*|\s*\|.*|\s*(?:[-*_]\s*){3,}"
 
 
@@ -68,6 +70,15 @@ C AS (SELECT doc_id, source, ln, regexp_matches(line, '{LIST_ITEM}') AS is_list,
 D AS (SELECT doc_id, source, ln, is_list, unnest(string_split_regex(line, '[.!?]')) AS raw, generate_subscripts(string_split_regex(line, '[.!?]'), 1) AS sn FROM C),
 S AS (SELECT doc_id, source, dense_rank() OVER (PARTITION BY doc_id ORDER BY ln) AS para_no, row_number() OVER (PARTITION BY doc_id ORDER BY ln, sn) AS sent_no, {strip("raw")} AS text, is_list
   FROM D WHERE regexp_matches(raw, '[A-Za-zÀ-ÿ]'))"""
+#: The same with paragraphs that end at blank and boundary lines, of the column ``text`` of a table RAW, without fences.
+BLOCKS = f"""L0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM RAW),
+L1 AS (SELECT *, regexp_matches(line, '^\\s*(?:```|~~~)') AS fence FROM L0),
+L2 AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS fences FROM L1),
+L AS (SELECT doc_id, line, ln, regexp_full_match(line, '{BOUNDARY}') AS cut FROM L2 WHERE NOT fence AND fences % 2 = 0),
+K AS (SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS block FROM L),
+C AS (SELECT doc_id, ln, block, regexp_matches(line, '{LIST_ITEM}') AS is_list, {clean_inline(r(r("line", LIST_ITEM), QUOTE))} AS line FROM K WHERE NOT cut),
+D AS (SELECT doc_id, ln, block, is_list, unnest(string_split_regex(line, '[.!?]')) AS raw, generate_subscripts(string_split_regex(line, '[.!?]'), 1) AS sn FROM C),
+S AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY block) AS para_no, row_number() OVER (PARTITION BY doc_id ORDER BY ln, sn) AS sent_no, {strip("raw")} AS text, is_list FROM D WHERE regexp_matches(raw, '[A-Za-zÀ-ÿ]'))"""
 METRICS = f"""{SENTENCES},
 T AS (SELECT *, length(replace(text, ' ', '')) AS ch, len(regexp_extract_all(lower(text), '[aeiouyà-æè-ïò-öù-ÿ]+')) AS mo, length(text) - length(replace(text, ',', '')) AS co, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS tokens FROM S),
 A AS (SELECT doc_id, max(para_no) AS n_paragraphs, count(*) AS n_sentences, count(*) FILTER (NOT is_list) AS n_prose, avg(ch) AS mc, stddev_pop(ch) AS sc, avg(mo) AS mm, stddev_pop(mo) AS sm, sum(co) AS commas, string_agg(text, '' ORDER BY sent_no) AS joined,
@@ -84,7 +95,10 @@ M AS (SELECT doc_id, source, ai, n_paragraphs, n_sentences, n_sentences_prose, o
   CASE WHEN ok AND n_sentences_prose >= 5 AND ne > 0 THEN len(list_distinct(e))/ne END AS ending_bigram_ttr,
   CASE WHEN ne > 20 THEN list_avg(list_transform(range(1, ne-18), lambda i: len(list_distinct(e[i:i+19]))/20)) WHEN ne >= 5 THEN len(list_distinct(e))/ne END AS mattr20,
   CASE WHEN ne >= 5 THEN least(ne, 20) END AS window_used FROM Z)"""
-NAMES = ("sent_len_char_mean", "sent_len_char_cv", "burstiness_char", "para_sent_cv", "comma_per_sentence", "ending_bigram_ttr", "mattr20")
+NAMES = (
+    "sent_len_char_mean", "sent_len_char_sd", "sent_len_char_cv", "sent_len_mora_mean", "sent_len_mora_sd", "sent_len_mora_cv", "burstiness_char", "burstiness_mora",
+    "para_sent_cv", "comma_per_sentence", "phrase_per_sentence", "ending_bigram_ttr", "mattr20",
+)
 LONG = f"""{METRICS}, V AS ({" UNION ALL ".join(f"SELECT doc_id, source, ai, '{n}' AS metric, round({n}, 6) AS value FROM M WHERE {n} IS NOT NULL" for n in NAMES)})"""
 
 
