@@ -272,21 +272,18 @@ def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int
 
     links = confirmed(bucket.where("pivot < rep").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct())
     roots = components(links)
+    open_ = bucket.where("members > 2")
     for turn in range(TURNS + 1):
-        # buckets that are still split, with the largest component in each and one of its members
-        rows = bucket.where("members > 2").join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("key", "rep", "members", F.coalesce("root", "rep").alias("root"))
+        # buckets that are still split, with the largest component in each and one of its members; others never split again
+        rows = open_.select("key", "rep", "pivot", "members").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         each = rows.groupBy("key", "root").agg(F.count("*").alias("own"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pick"))
         split = each.groupBy("key").agg(F.max_by(F.struct("root", "pick"), F.struct("own", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = rows.join(split.select("key", F.col("most.root").alias("major"), F.col("most.pick").alias("pick")), "key")
-        if turn == TURNS:
+        open_ = keep(rows.join(split.select("key", F.col("most.root").alias("major"), F.col("most.pick").alias("pick")), "key"))
+        if turn == TURNS or open_.isEmpty():
             break
-        asked = open_.where("root <> major").select(F.least("rep", "pick").alias("u"), F.greatest("rep", "pick").alias("v")).distinct()
-        more = confirmed(asked.join(bucket.where("pivot < rep").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            continue
-        links = links.union(more)
+        asked = open_.where("root <> major and pick <> pivot and rep <> pivot").select(F.least("rep", "pick").alias("u"), F.greatest("rep", "pick").alias("v")).distinct()
+        links = links.union(confirmed(asked))
         roots = components(links)
-    open_ = keep(open_)
     if open_.isEmpty():
         return links
     few = open_.where(f"members <= {SMALL}").select("key", F.col("rep").alias("id"), "root").join(sketches, "id").repartition("key").sortWithinPartitions("key", "id")
