@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages: host-level quality rules, near-dedup, personal data, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-with a null doc_id are judged like others where a stage works on rows, and stay where it works on ids.
+with a null doc_id, and rows that share one, are documents like others.
 """
 
 from __future__ import annotations
@@ -13,43 +13,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import byte_bpe, host_rules, mixing, near_dedup, personal_data
-from inkwell.llm.common import new_folder, table
+from inkwell.llm.common import WORD, free_name, new_folder, table
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id, which may be null, is among ids."""
-    told = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(told, docs["doc_id"].eqNullSafe(told["_id"]), "left_semi")
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column, whose name is given, that tells its documents apart: doc_id where it is one row's alone, else a
+    hash of doc_id, text and source. Rows equal in these three share it."""
+    name = free_name(docs, "row_id")
+    several = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    if several.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    marked = several.select(F.col("doc_id").alias(f"{name}_of"))
+    joined = docs.join(marked, docs["doc_id"].eqNullSafe(marked[f"{name}_of"]), "left").withColumn(name, F.col("doc_id").isNull() | F.col(f"{name}_of").isNotNull()).drop(f"{name}_of")
+    return joined.withColumn(name, F.when(F.col(name), F.xxhash64("doc_id", "text", "source")).otherwise(F.col("doc_id").cast("long"))), name
+
+
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str]:
+    """Identified rows that ``judge``, given documents whose doc_id is the row's, keeps; and the column of the row's id."""
+    known, name = _identified(docs)
+    told = judge(known.select(F.col(name).alias("doc_id"), "text", "source")).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return known.join(told, name, "left_semi"), name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the host-level rules keep (of rows that share a doc_id all stay if one is kept)."""
-    return _with_ids(docs, host_rules.host_rules(docs).where("kept"))
+    """Documents that the host-level rules keep.
+
+    Null and empty texts have no words and go; long texts are judged whole. Rows that share a doc_id are judged one by
+    one, equal rows alike. An empty table gives an empty one; further columns stay, whatever their names.
+    """
+    return _kept(docs, host_rules.host_rules)[0].select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
-    kept = _with_ids(docs, near_dedup.near_dedup(docs).where("kept"))
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """One document of each near-duplicate group, that of the least id: five-word shingles, similarity of 0.8 or more.
+
+    Null and empty texts are near nothing and stay. Rows that share a doc_id are told apart by their texts: unlike ones
+    all stay, of equal ones the least by its other columns. Otherwise as quality_rules.
+    """
+    kept, name = _kept(docs, near_dedup.near_dedup)
+    again = kept.where(F.col("text").rlike(WORD)).groupBy(name).count().where("count > 1").select(name)
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = kept.join(again, name, "left_semi").groupBy(name).agg(F.min_by(whole, F.to_json(whole)).alias(name + "_"))
+    return kept.join(again, name, "left_anti").select(docs.columns).unionByName(one.select(f"{name}_.*"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans replaced by their kind; n_chars follows the text."""
-    return personal_data.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Spans replaced by their kind; n_chars follows the text.
+
+    A null text stays null, with a null n_chars; an empty one stays empty. Every row stays, repeated ones too. An empty
+    table gives an empty one; further columns stay, whatever their names.
+    """
+    return personal_data.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Each document as often as the mix takes it.
+
+    Texts without words (null, empty) are taken 0 times. Rows that share a doc_id are drawn one by one, equal rows alike.
+    A null source is one source. An empty table gives an empty one; further columns stay, whatever their names.
+    """
+    known, name = _identified(docs)
+    copies = mixing.mix(known.select(F.col(name).alias("doc_id"), "text", "source")).where("copies > 0").groupBy(F.col("doc_id").alias(name)).agg(F.max("copies").alias(name + "_copies"))
+    taken = known.join(copies, name)
+    return taken.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name + "_copies")))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the digest of the bytes they decode to: doc_id, n_tokens, ids, decoded_sha256."""
+    """Token ids of each text, and the digest of the bytes they decode to: doc_id, n_tokens, ids, decoded_sha256.
+
+    A row for each row, repeated ones too; null and empty texts have no ids. Very long texts and words are encoded whole.
+    An empty table gives an empty one; further columns are left out.
+    """
     coded = byte_bpe.encode(docs, byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -62,7 +98,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokenize),
 ]
 
-#: Near-duplicate components and the folded encoding have no SQL form; tests compare run() with a brute-force version.
+#: Near-duplicate components, the draw of the mix and the folded encoding have no SQL form; tests compare run() with a
+#: version in plain Python.
 ORACLE_SQL: str | None = None
 
 

@@ -13,12 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or (unset, as in tests) a temporary folder of this machine."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local session (as in tests) takes a
+    temporary folder of this machine, which its only JVM sees; on a cluster that is an error."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkwell-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
@@ -55,3 +58,11 @@ def salted_lookup(rows: DataFrame, small: DataFrame, key: str, salt_by: str, sal
     right = small.withColumnRenamed(key, "_key").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     on = left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt"])
     return left.join(right, on, "left").drop("_key", "_salt")
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that rows don't have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

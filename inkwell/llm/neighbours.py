@@ -12,12 +12,13 @@ cells that the test does not rule out. Equal vectors are one entry with their le
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import keep
@@ -25,6 +26,7 @@ from inkwell.llm.common import keep
 DIMS, LEAF, CELL = 8, 64, 8192
 CONFIDENCE = 0.98
 SAMPLE = 20_000
+QUERIES = 4096  # of a part that are searched in one task
 
 
 def chi_square_cdf(x: float) -> float:
@@ -49,9 +51,10 @@ STOP = _stop_ratio()  # the test holds where projected distance**2 >= STOP * (k-
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Equally long lists as rows of float64."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64).reshape(len(column), -1)
+    """Equally long lists as rows of float64, each scaled by a power of two to a largest component in 0.5 to 1: cosines stay
+    as they are to the last bit, and no square overflows or vanishes."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(values, -np.frexp(np.abs(values).max(axis=1, initial=0))[1][:, None])
 
 
 def project(vectors: np.ndarray) -> np.ndarray:
@@ -209,27 +212,28 @@ def _route(cells: Cells, parts: np.ndarray, home: bool):
     return run
 
 
-def neighbours(vectors: DataFrame, query_ids, k: int = 5) -> DataFrame:
+def neighbours(vectors: DataFrame, query_ids: Column, k: int = 5) -> DataFrame:
     """The k nearest vectors by cosine of each query; ``vectors`` is (vec_id, embedding array), ``query_ids`` a condition.
 
     Returns query_id, rank (from 1), vec_id, score; nearest first, ties to the smaller vec_id, a query's own id left
     out; fewer rows where there are fewer candidates. Vectors that are null, empty, zero or hold null or non-finite
-    components, and null ids, take no part; vectors of another length than the commonest (the shorter of several) take
-    none either. Ids that repeat with the same vector count once. An empty table gives an empty result.
+    components, and null ids, take no part. Vectors of different lengths have no cosine, so each length is searched by
+    itself. Ids that repeat with the same vector count once. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    number = "array<double>"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(number).alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), query_ids.alias("asks")).where("vec_id is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    rows = rows.where(finite & F.exists("embedding", lambda x: x != 0))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if length is None:
-        return empty
-    rows = rows.where(F.size("embedding") == length["n"]).distinct()
+    rows = rows.where(finite & F.exists("embedding", lambda x: x != 0)).distinct()
+    lengths = [r["n"] for r in rows.where("asks").select(F.size("embedding").alias("n")).distinct().orderBy("n").toLocalIterator()]
+    nothing = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_of_one_length(rows.where(F.size("embedding") == n), k) for n in lengths]
+    return functools.reduce(DataFrame.union, found) if found else nothing
+
+
+def _of_one_length(rows: DataFrame, k: int) -> DataFrame:
+    """The same for (vec_id, embedding, asks) of one length."""
     # the least k + 1 ids of equal vectors: row_number() <= k + 1 is applied before the shuffle too
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    entries = keep(rows.withColumn("nth", F.row_number().over(order)).where(f"nth <= {k + 1}").groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    entries = keep(rows.select("vec_id", "embedding").distinct().withColumn("nth", F.row_number().over(order)).where(f"nth <= {k + 1}").groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = entries.count()
     some = entries.orderBy(F.xxhash64(F.get("ids", F.lit(0)))).limit(SAMPLE).select("embedding").toArrow()
     cells = Cells(project(matrix(some.column("embedding").combine_chunks())), max(1, -(-n // CELL)))
@@ -239,13 +243,18 @@ def neighbours(vectors: DataFrame, query_ids, k: int = 5) -> DataFrame:
     parts = np.array([max(1, -(-sizes.get(c, 0) // (2 * CELL))) for c in range(len(one))])
     points = keep(entries.mapInArrow(_locate(cells, parts), located))
 
-    asked = keep(rows.where(query_ids).select(F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("double").alias("bound")))
+    asked = keep(rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("double").alias("bound")).distinct())
     routed = "query_id long, embedding array<double>, bound double, cell long, part long"
-    held = points.select(F.lit(None).cast("long").alias("query_id"), "embedding", F.lit(None).cast("double").alias("bound"), "cell", "part", "ids")
 
     def search(queries: DataFrame) -> DataFrame:
-        both = held.unionByName(queries.withColumn("ids", F.lit(None).cast("array<long>")))
-        return both.groupBy("cell", "part").applyInArrow(_search(k), "query_id long, vec_id long, score double")
+        # a part that many queries ask is searched by several tasks, each with its share of the queries
+        queries = keep(queries)
+        turns = queries.groupBy("cell", "part").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("turns"))
+        dealt = queries.join(turns, ["cell", "part"]).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("ids", F.lit(None).cast("array<long>"))
+        held = points.join(turns, ["cell", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+        held = held.withColumn("query_id", F.lit(None).cast("long")).withColumn("bound", F.lit(None).cast("double"))
+        columns = ["query_id", "embedding", "bound", "cell", "part", "turn", "ids"]
+        return held.select(columns).union(dealt.select(columns)).groupBy("cell", "part", "turn").applyInArrow(_search(k), "query_id long, vec_id long, score double")
 
     def first(found: DataFrame) -> DataFrame:
         nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -43,11 +43,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: Column, allowed: Column, m
     """(doc_id, y, text) of at most ``most`` labelled rows, the first by a hash of the id, so that reruns agree.
 
     ``allowed`` is a condition on doc_id. Rows without a label or an id take no part; of an id's repeated labels the
-    largest counts. The ids, at most ``most`` of them, are broadcast to the documents.
+    largest counts, of an id's repeated texts the least. The ids, at most ``most`` of them, are broadcast to the documents.
     """
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("y")).where("doc_id is not null and y is not null").where(allowed)
     told = told.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(told), "doc_id").select("doc_id", "y", "text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(told), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(rows: DataFrame, train: Callable[[Iterator[vectext.Chunk], np.ndarray], bytes]) -> bytes:

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.fs as pafs
+import plain
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -212,6 +213,22 @@ def test_neighbours(spark):
     assert Counter(r["query_id"] for r in few) == {0: 2, 1: 2, 2: 2}
 
 
+def test_neighbours_of_extreme_and_unlike_vectors(spark, monkeypatch):
+    """Finite components of any size; lengths are searched apart; the queries of a part are dealt over tasks."""
+    monkeypatch.setattr(neighbours, "QUERIES", 1)
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e199]), (3, [0.0, 1.0]), (4, [1e-200, 3e-201]), (5, [5e-324, 0.0]), (6, [1.7e308, -1.7e308]), (11, [1.0, 0.0, 0.0]), (12, [2.0, 1.0, 0.0]), (13, [0.0] * 3), (14, [3.0] * 4)]
+    got = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), 3).collect()
+    for ids in ([1, 2, 3, 4, 5, 6], [11, 12]):
+        unit = {i: np.array(v) / np.abs(v).max() for i, v in rows if i in ids}
+        unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+        for q in ids:
+            told = sorted(((unit[q] @ unit[i], i) for i in ids if i != q), key=lambda x: (-round(x[0], 12), x[1]))[:3]
+            own = sorted(((r["score"], r["vec_id"]) for r in got if r["query_id"] == q), key=lambda x: (-round(x[0], 12), x[1]))
+            assert [s for s, _ in own] == pytest.approx([s for s, _ in told], abs=1e-12)
+            assert [i for _, i in own] == [i for _, i in told], q
+    assert {r["query_id"] for r in got} == {1, 2, 3, 4, 5, 6, 11, 12}
+
+
 def test_chi_square():
     assert neighbours.chi_square_cdf(neighbours.STOP) == pytest.approx(neighbours.CONFIDENCE)
     assert neighbours.chi_square_cdf(7.344) == pytest.approx(0.5, abs=1e-3)
@@ -275,6 +292,7 @@ def test_attention_gradients_and_causality():
 
 def test_mixing(spark, docs, nothing):
     out = mixing.mix(docs).collect()
+    distinct = mixing.mix(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).cache()
     assert len(out) == docs.count()
     size = Counter()
     for r in docs.collect():
@@ -295,6 +313,8 @@ def test_mixing(spark, docs, nothing):
         taken[r["source"]] += r["taken"]
     largest = {s: max(r["size"] for r in out if r["source"] == s) for s in order}
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in order)
+    told = plain.mix([(r["doc_id"], r["source"], r["size"]) for r in distinct.collect()])
+    assert {r["doc_id"]: r["copies"] for r in distinct.collect()} == told  # the draw itself
     again = mixing.mix(docs.repartition(5)).collect()
     key = lambda r: (str(r["doc_id"]), r["size"], r["copies"])
     assert sorted(map(key, out)) == sorted(map(key, again))
