@@ -90,6 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_near_dedup": r"""
+WITH RECURSIVE T AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+S AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) ELSE w END) AS shingle FROM T),
+N AS (SELECT doc_id, count(*) AS n FROM S GROUP BY doc_id), Z AS (SELECT doc_id, shingle, n FROM S JOIN N USING (doc_id)),
+P AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS k FROM Z a JOIN Z b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100*a.n >= 80*b.n AND 100*b.n >= 80*a.n GROUP BY ALL),
+L AS (SELECT u, v FROM P WHERE 100*k >= 80*(m + n - k)), E AS (SELECT u, v FROM L UNION ALL SELECT v, u FROM L),
+R AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT E.v, R.root FROM R JOIN E ON E.u = R.doc_id)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM R LEFT JOIN N USING (doc_id) GROUP BY doc_id""",
     "op7_host_rules": r"""
 WITH W AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 P AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 6, 1))) AS i, w FROM W),

@@ -153,7 +153,8 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int):
                 ids = batch.column(0).to_pylist()
                 for chunk in vectext.chunks(batch.column(1)):
                     found, bounds = encoder.chunk_ids(chunk)
-                    parts = [payload(ids[chunk.first + i], np.append(found[bounds[i] : bounds[i + 1]], np.uint32(end_id)), width) for i in range(len(chunk))]
+                    own = [np.append(found[bounds[i] : bounds[i + 1]], np.uint32(end_id)) for i in range(len(chunk))]
+                    parts = [payload(ids[chunk.first + i], x, width if x.max() < 1 << 16 else 4) for i, x in enumerate(own)]
                     raw, lengths = frame(parts)
                     out.write(raw)
                     offsets.append(at + np.cumsum(lengths) - lengths)
@@ -189,13 +190,14 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str, wi
     """Encode texts and write them as record shards in ascending doc_id order; the shards' names and sizes, in order.
 
     Rows of one doc_id stand in the order of their texts; a null doc_id comes first; a null text is the empty one.
-    Ids take 2 bytes unless ``wide``. Shards are ranges of doc_id, one a task; a task that is run again writes a new
-    file, and files of lost attempts are in no list. ``folder`` is a URI in a file system that all executors share.
+    Ids of a record take 2 bytes, or 4 where one of them needs more or ``wide`` is set. Shards are ranges of doc_id and
+    of the beginnings of texts (so that rows of one or no id are dealt too), one a task; a task that is run again writes a
+    new file, and files of lost attempts are in no list. ``folder`` is a URI in a file system that all executors share.
     """
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     shards = rows.mapInArrow(_writer(folder, vocabulary, end_id, 4 if wide else 2), "shard long, name string, docs long, tokens long").collect()  # a row for each task
     out, start = [], 0
     for s in sorted(shards, key=lambda s: s["shard"]):
