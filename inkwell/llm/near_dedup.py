@@ -8,7 +8,7 @@ distance meets under a key. For s >= 0.8, 27 of 70 lanes are four standard devia
 
 Equal sets are one class from the start. Within a key's bucket, members are linked to the least of them (a star, not
 all pairs) and confirmed on full sets. In a bucket whose members are then in several components, those outside the largest
-are linked to another member of it, a few times over, which joins most of what belongs together with work that grows
+are linked to another member of it, which joins much of what belongs together with work that grows
 with the members. What is left is finished exactly. Small buckets compare their members by signature distance, and what
 is near enough is confirmed on full sets; chance agreement of keys makes only such buckets. Large buckets make areas,
 and in an area each member outside the largest component meets all others, by pairs of blocks of bounded size that give
@@ -33,8 +33,9 @@ from inkwell.llm.components import components
 CHUNKS, LANES = 14, 5
 WIDTH = CHUNKS * LANES
 MOST = 2 * CHUNKS - 1
-TURNS = 2  # of stars about further members of the largest component
+TURNS = 1  # of stars about another member of the largest component
 SMALL, BLOCK = 64, 1024  # members of a bucket that is compared as it is, and of a block
+FEW = 1 << 20  # ids, of 8 bytes each
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -250,16 +251,22 @@ def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int
     stars = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     bucket = keep(keys.join(stars, "key"))
     sketches = classes.select("id", "n", "lanes")
-    plain = classes.where("id = rep").select("id")
+    hashed = not classes.where("id <> rep").isEmpty()
 
     def set_of(ids: DataFrame) -> DataFrame:
-        """(id) -> (id, shingles): sets of the classes with these ids."""
-        easy = texts.withColumn("id", F.col("doc_id")).join(ids.join(plain, "id", "left_semi"), "id", "left_semi").select("id", "text")
-        sets = easy.mapInArrow(_set_bytes(shingle_words), "id long, shingles binary")
-        hard = ids.join(classes.where("id <> rep").select("id", F.col("rep").alias("doc_id"), "digest"), "id")
-        own = texts.join(hard.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_bytes(shingle_words), "doc_id long, shingles binary")
-        own = own.join(hard, "doc_id").where(F.xxhash64(_digest(F.col("shingles"))) == F.col("id")).select("id", "shingles")
-        return sets.union(own.dropDuplicates(["id"])) if not classes.where("id <> rep").isEmpty() else sets
+        """(id) -> (id, shingles): sets of the classes with these ids. Up to FEW ids are broadcast, more are joined."""
+        ids = keep(ids)
+        if ids.count() <= FEW:
+            ids = F.broadcast(ids)
+        easy = texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+        if not hashed:
+            return easy.mapInArrow(_set_bytes(shingle_words), "id long, shingles binary")
+        # an id of several texts names none of them: their sets are told by their digests
+        alone = easy.join(classes.where("id = rep").select("id"), "id", "left_semi").mapInArrow(_set_bytes(shingle_words), "id long, shingles binary")
+        others = classes.where("id <> rep").select("id", F.col("rep").alias("doc_id")).join(ids, "id")
+        own = texts.join(others.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_bytes(shingle_words), "doc_id long, shingles binary")
+        own = own.join(others, "doc_id").where(F.xxhash64(_digest(F.col("shingles"))) == F.col("id")).select("id", "shingles")
+        return alone.union(own.dropDuplicates(["id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (u, v) whose full sets are similar."""
