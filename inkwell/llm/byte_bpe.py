@@ -35,7 +35,7 @@ from inkwell.llm.pretoken import pieces
 LONG = 128
 COMMON_BYTES, PART_BYTES = 56 << 20, 8 << 20
 CHUNK = (1 << 20) - 2  # bytes worked on at a time, which bounds a worker's memory
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 _FACTOR, _SHIFT = 81007, 9  # of the hash that deals pairs over the buckets
 _ID_BITS = 20
 _NO_ID, _NO_RANK = (1 << _ID_BITS) - 1, (1 << 31) - 1
@@ -55,14 +55,13 @@ def _let(value: Column, body) -> Column:
 
 def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """The rank of each pair of ids whose bytes together are a piece of the vocabulary: buckets of maps, as a literal."""
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        for k in range(1, len(piece)):
-            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
-            if left is not None and right is not None:
-                pair = (left << 16) + right
-                buckets[(pair * _FACTOR >> _SHIFT) & (BUCKETS - 1)][pair] = rank
-    return spark.createDataFrame([(buckets,)], "ranks array<map<bigint,int>>").scalar()
+    found = [((left << 16) + right, rank) for piece, rank in ranks.items() for k in range(1, len(piece)) if (left := ranks.get(piece[:k])) is not None and (right := ranks.get(piece[k:])) is not None]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    bucket = (pairs[:, 0] * _FACTOR >> _SHIFT) & (BUCKETS - 1)
+    pairs = pairs[np.argsort(bucket, kind="stable")]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))]).astype(np.int32)
+    maps = pa.MapArray.from_arrays(pa.array(offsets), pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32)))
+    return spark.createDataFrame(pa.table({"ranks": pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), maps)})).scalar()
 
 
 def _fold(ranks: Column, piece: Column, singles: list[int]) -> Column:

@@ -163,10 +163,13 @@ def test_near_dedup_chains(spark):
     assert {r["component_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()} == {0}
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "u long, v long")
-    got = dict(map(tuple, components.components(edges).collect()))
-    assert {got[i] for i in range(1, 41)} == {0} and got[101] == got[103] == 100
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = dict(map(tuple, components.components(edges).collect()))
+        assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100, 103: 100}
+        assert components.components(edges.limit(0)).count() == 0
 
 
 def test_toxicity_and_quality(spark, nothing):
@@ -378,6 +381,7 @@ def test_byte_bpe(spark, docs, nothing, encoding, monkeypatch):
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     rng = random.Random(3)
     odd = ["".join(rng.choice("ab s't're'll'dve 'sm \n\t  é漢12٣²½!?., 　\xa0 x'") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    odd += ["".join(map(chr, range(256))), " ".join(chr(c) * 3 for c in range(1, 40)), "\x00a\x00b", "x\u2028y\ufeff z\U0001f600\U0001f469\u200d\U0001f4bb"]
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()] + [(1000 + i, t) for i, t in enumerate(odd)]
     check_round_trip(spark, rows, encoding)
     monkeypatch.setattr(byte_bpe, "COMMON_BYTES", 2_000)  # most pieces are joined
