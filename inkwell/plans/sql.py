@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from inkwell.functions.stats import ERFC, POISSON
 
-#: Fixed values, as in the profiles: Markdown noise and line rules, spelled for this engine.
 MODELS = "('src0','src1','src2','src3','src4','src5','src6')"
 #: Fixed values, as in the profiles: Markdown noise and line rules, spelled for this engine.
 NOISE = r"```[\s\S]*?```|`[^`]+`|!\[.*?\]\(.*?\)|\[.*?\]\(.*?\)|#{1,6}\s|[*_~`>|]"
