@@ -279,6 +279,28 @@ def fold_pieces(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return short.where("coded is not null").union(spark.read.schema(_PIECES).parquet(f"{folder}/long"))
 
 
+def _table_of(ranks: dict[bytes, int]):
+    """(coded, n) of pieces, in one task -> the arrays of the common table and ids by falling number, as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lengths, flats = [_hashes(list(ranks))], [np.ones(len(ranks), np.int64)], [np.fromiter(ranks.values(), "<u2", len(ranks))]
+        often = np.zeros(max(ranks.values()) + 1)
+        for batch in batches:
+            key, length, flat = _unpacked(batch.column(0))
+            often += np.bincount(flat, weights=np.repeat(batch.column(1).to_numpy(), length), minlength=len(often))
+            some = length < 1 << 16  # longer ones stay with the rarer pieces
+            keys.append(key[some])
+            lengths.append(length[some])
+            flats.append(flat[np.repeat(some, length)])
+        length, flat = np.concatenate(lengths), np.concatenate(flats)
+        key, first = np.unique(np.concatenate(keys), return_index=True)  # a piece of the vocabulary has its own id
+        flat, _ = _gathered(flat, (np.cumsum(length) - length)[first], length[first])
+        columns = [key.astype("<u8"), length[first].astype("<u2"), flat.astype("<u2"), np.argsort(-often, kind="stable").astype("<u2")]
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["keys", "lengths", "flat", "by_number"])
+
+    return run
+
+
 def _common(folded: DataFrame, ranks: dict[bytes, int]) -> tuple[tuple[bytes, bytes, bytes], int, np.ndarray]:
     """The vocabulary and the commonest pieces (hashes, lengths, ids), the least count among the latter, and their ids by
     falling number.
@@ -293,15 +315,12 @@ def _common(folded: DataFrame, ranks: dict[bytes, int]) -> tuple[tuple[bytes, by
         if total > COMMON_BYTES:
             break
         least = row["n"]
-    top = folded.where(F.col("n") >= least).select("coded", "n").toArrow().combine_chunks()  # at most COMMON_BYTES
-    keys, lengths, flat = _unpacked(pa.concat_arrays(top.column("coded").chunks or [pa.array([], pa.binary())]))
-    often = np.bincount(flat, weights=np.repeat(top.column("n").to_numpy(), lengths), minlength=max(ranks.values()) + 1)
-    some = lengths < 1 << 16  # longer ones stay with the rarer pieces
-    flat = np.concatenate([np.fromiter(ranks.values(), "<u2", len(ranks)), flat[np.repeat(some, lengths)]])
-    lengths = np.concatenate([np.ones(len(ranks), np.int64), lengths[some]])
-    keys, first = np.unique(np.concatenate([_hashes(list(ranks)), keys[some]]), return_index=True)  # a piece of the vocabulary has its own id
-    flat, _ = _gathered(flat, (np.cumsum(lengths) - lengths)[first], lengths[first])
-    return (keys.astype("<u8").tobytes(), lengths[first].astype("<u2").tobytes(), flat.astype("<u2").tobytes()), least, np.argsort(-often, kind="stable")
+    top = folded.where(F.col("n") >= least).select("coded", "n").repartition(1)  # at most COMMON_BYTES
+    row = top.mapInArrow(_table_of(ranks), "keys binary, lengths binary, flat binary, by_number binary").first()
+    if row is None:  # no text has a piece
+        (batch,) = _table_of(ranks)(iter(()))
+        row = batch.to_pylist()[0]
+    return (bytes(row["keys"]), bytes(row["lengths"]), bytes(row["flat"])), least, np.frombuffer(bytes(row["by_number"]), "<u2")
 
 
 #: Ids by falling number take one, two or three bytes: below ONE, below TWO, and all others.

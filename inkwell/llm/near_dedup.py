@@ -217,21 +217,23 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     known = sketch.where("digest is not null and doc_id is not null")
     firsts = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("lanes").alias("lanes")))
     # an id may repeat with other texts: such an id's classes are told apart by a hash of the digest
-    shared = firsts.groupBy("rep").count().where("count > 1").select("rep")
-    if shared.isEmpty():
-        classes = firsts.withColumn("id", F.col("rep"))
-    else:
+    repeated = known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = not repeated.isEmpty()
+    classes = firsts.withColumn("id", F.col("rep"))
+    if several:
+        shared = firsts.groupBy("rep").count().where("count > 1").select("rep", F.lit(True).alias("many"))
         own = F.when(F.col("many"), F.xxhash64("digest")).otherwise(F.col("rep"))
-        classes = keep(firsts.join(shared.withColumn("many", F.lit(True)), "rep", "left").withColumn("id", own).drop("many"))
-    links = _links(docs, classes, shingle_words, percent)
+        classes = keep(firsts.join(shared, "rep", "left").withColumn("id", own).drop("many"))
+    links = _links(docs, classes, several, shingle_words, percent)
     roots = components(links)
     told = classes.join(roots.withColumnRenamed("u", "id"), "id", "left").select("digest", "id", "rep", F.coalesce("root", "id").alias("root"))
-    # the least doc_id of a component
-    least = told.groupBy("root").agg(F.min("rep").alias("least"))
-    final = told.join(least, "root").select("digest", F.col("least").alias("root"))
-    if not shared.isEmpty() or not _repeated(known).isEmpty():
+    final = told.select("digest", "root")
+    if several:
+        # the least doc_id of a component
+        least = told.groupBy("root").agg(F.min("rep").alias("least"))
+        final = told.join(least, "root").select("digest", F.col("least").alias("root"))
         # ids that repeat with several texts tie their components together
-        tied = known.join(_repeated(known), "doc_id", "left_semi").join(final, "digest")
+        tied = known.join(repeated, "doc_id", "left_semi").join(final, "digest")
         tie = components(tied.select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
         final = final.join(tie.select(F.col("u").alias("root"), F.col("root").alias("whole")), "root", "left").select("digest", F.coalesce("whole", "root").alias("root"))
     out = sketch.join(final, "digest", "left")
@@ -239,27 +241,20 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _repeated(known: DataFrame) -> DataFrame:
-    """doc_ids that stand on several texts."""
-    return known.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-
-
-def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, several: bool, shingle_words: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) between classes (id, rep, digest, n, lanes) of texts, enough for their components."""
     texts = docs.where("doc_id is not null")
     keys = classes.select("id", "lanes").mapInArrow(_keys, "key long, rep long")
     stars = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     bucket = keep(keys.join(stars, "key"))
     sketches = classes.select("id", "n", "lanes")
-    hashed = not classes.where("id <> rep").isEmpty()
-
     def set_of(ids: DataFrame) -> DataFrame:
         """(id) -> (id, shingles): sets of the classes with these ids. Up to FEW ids are broadcast, more are joined."""
         ids = keep(ids)
         if ids.count() <= FEW:
             ids = F.broadcast(ids)
         easy = texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        if not hashed:
+        if not several:
             return easy.mapInArrow(_set_bytes(shingle_words), "id long, shingles binary")
         # an id of several texts names none of them: their sets are told by their digests
         alone = easy.join(classes.where("id = rep").select("id"), "id", "left_semi").mapInArrow(_set_bytes(shingle_words), "id long, shingles binary")
