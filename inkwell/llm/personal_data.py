@@ -4,10 +4,10 @@ Spans that the fixed patterns prove (BASE) always count. Wider patterns give fur
 addresses, numbers with other separators, masked parts, digits as words. On all candidates labelers vote for (1), against
 (-1) or not at all (0): the usual shape of the normal form, a gazetteer, cue words in the context before, and the proof of
 the base pattern. The gazetteer holds known beginnings and endings, and the domains, networks, issuers and areas that
-proven spans of the corpus share (the GAZETTEER commonest). Expectation-maximisation over the table of vote patterns
+proven spans of the corpus share: the GAZETTEER commonest go to all tasks, the others are joined by key. Expectation-maximisation over the table of vote patterns
 estimates each labeler's reliability; its posteriors, of all candidates, are the soft labels from which a final span
 classifier, naive Bayes on votes, digits and separators, is trained. Candidates are counted where they stand; only bounded
-tables of counts come to the driver.
+tables come to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import keep
+from inkwell.llm.common import free_name, keep, new_folder
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -34,7 +34,7 @@ _WORDS = "|".join(_NUMBERS)
 #: Wider patterns. Email: "at" or "dot" written out. IP: other dots, masked parts, version 6. Card: masked groups, other
 #: separators. Phone: grouped numbers without a plus sign, digits as words.
 WIDE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:(?: ?[\[(]at[\])] ?|＠)[a-z0-9-]{1,64}+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[a-z0-9-]{1,24}+){1,4}+| at [a-z0-9-]{1,64}+(?:(?: dot | ?[\[(]dot[\])] ?)[a-z0-9-]{1,24}+){1,4}+)",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:(?: ?[\[(]at[\])] ?|＠)[a-z0-9-]++(?:(?: ?[\[(]dot[\])] ?| dot |\.)[a-z0-9-]++)++| at [a-z0-9-]++(?:(?: dot | ?[\[(]dot[\])] ?)[a-z0-9-]++)++)",
     "ip": r"(?i)(?<![0-9a-z.:])(?:[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)| dot )[0-9]{1,3}+){3}|(?:[0-9]{1,3}+\.){2}(?:[0-9]{1,3}+|[x*]{1,3}+)\.[x*]{1,3}+|(?:[0-9a-f]{1,4}+:){4,7}[0-9a-f]{1,4}+)(?![0-9a-z:])",
     "card": r"(?i)(?<![0-9a-z*])(?:(?:[0-9]{4}|[x*•]{4})(?:[ -]?[x*•]{4}){1,2}[ -]?[0-9]{4}|[0-9]{4}(?:[._/][0-9]{4}){3})(?![0-9a-z])",
     "phone": rf"(?i)(?<![0-9A-Za-z+.])\(?[0-9]{{2,4}}+\)?(?:[ .-][0-9]{{2,4}}+){{2,4}}+(?![0-9A-Za-z])|\b(?:{_WORDS})(?:[ -](?:{_WORDS})){{6,14}}\b",
@@ -49,7 +49,7 @@ CONTEXT = 40
 ROUNDS = 25
 ACCEPT = 0.85
 WEIGHT = 4.0
-GAZETTEER = 4096  # keys that proven spans share
+GAZETTEER = 4096  # keys that proven spans share and all tasks hold; there is no bound on the others
 
 
 def _located(text: Column, kind: str, pattern: str) -> Column:
@@ -250,31 +250,52 @@ def _spotted(column: Column) -> Column:
     return F.when(text.rlike(_LIKELY), candidates(text)).otherwise(none)
 
 
-def _gazetteer(seen: DataFrame) -> Column:
-    """Keys that two or more proven spans of the column held share, the GAZETTEER commonest, as a literal array."""
-    keys = seen.select(F.explode(F.filter("held", lambda s: s["proven"] & ~s["key"].endswith(":"))).alias("s")).groupBy("s.key").count().where("count > 1")
-    found = keys.orderBy(F.desc("count"), "key").limit(GAZETTEER).collect()
-    return F.split(F.lit("\n".join(sorted(r["key"] for r in found))), "\n")
-
+def _gazetteer(seen: DataFrame) -> tuple[Column, DataFrame | None]:
+    """Keys that two or more proven spans of the column held share.
 
-def _voted(held: Column, gazetteer: Column) -> Column:
+    The GAZETTEER commonest come as a literal array. Of the others, if there are any, (mark, more) gives those that the
+    spans of a mark have.
+    """
+    keys = seen.select(F.explode(F.filter("held", lambda s: s["proven"] & ~s["key"].endswith(":"))).alias("s")).groupBy("s.key").count().where("count > 1")
+    found = keys.orderBy(F.desc("count"), "key").limit(GAZETTEER + 1).collect()
+    common = F.split(F.lit("\n".join(sorted(r["key"] for r in found[:GAZETTEER]))), "\n")
+    if len(found) <= GAZETTEER:
+        return common, None
+    last = found[GAZETTEER - 1]
+    rest = keys.where((F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.col("key") > last["key"]))).select("key")
+    asked = seen.select("mark", F.explode(F.filter("held", lambda s: (s["known"] == 0) & ~F.array_contains(common, s["key"]))).alias("s")).select("mark", "s.key").distinct()
+    folder = new_folder(seen.sparkSession, "gazetteer")
+    asked.join(rest, "key", "left_semi").groupBy("mark").agg(F.collect_set("key").alias("more")).write.parquet(folder)
+    return common, seen.sparkSession.read.schema(f"mark {seen.schema['mark'].dataType.simpleString()}, more array<string>").parquet(folder)
+
+
+def _with_more(rows: DataFrame, told: DataFrame | None, mark: str = "mark", more: str = "more") -> DataFrame:
+    """Rows with the rarer keys of the gazetteer that their spans have (null: none)."""
+    if told is None:
+        return rows.withColumn(more, F.lit(None).cast("array<string>"))
+    return rows.join(told.select(F.col("mark").alias(mark), F.col("more").alias(more)), mark, "left")
+
+
+def _voted(held: Column, gazetteer: Column, more: Column) -> Column:
     """Candidates with the gazetteer's votes."""
-    known = lambda s: F.when(F.array_contains(gazetteer, s["key"]), 1).otherwise(s["known"]).alias("known")
+    known = lambda s: F.when(F.array_contains(gazetteer, s["key"]) | F.coalesce(F.array_contains(more, s["key"]), F.lit(False)), 1).otherwise(s["known"]).alias("known")
     return F.transform(held, lambda s: F.struct(*(known(s) if f == "known" else s[f].alias(f) for f in ("kind", "start", "end", "proven", "shape", "known", "cue", "digits", "marks"))))
 
 
-def _trained(seen: DataFrame) -> tuple[Column, Column]:
-    """The gazetteer and the classifier, a literal map, for the candidates in the column held."""
-    gazetteer = _gazetteer(seen)
-    rows = seen.where(F.size("held") > 0).select(F.explode(_voted(F.col("held"), gazetteer)).alias("s"))
+def _trained(seen: DataFrame) -> tuple[Column, DataFrame | None, Column]:
+    """The gazetteer, its rarer keys by mark, and the classifier, a literal map, for the candidates in the column held.
+
+    Rows that share a mark have the same candidates.
+    """
+    gazetteer, told = _gazetteer(seen)
+    rows = _with_more(seen.where(F.size("held") > 0), told).select(F.explode(_voted(F.col("held"), gazetteer, F.col("more"))).alias("s"))
     counts = rows.select("s.kind", "s.proven", *(f"s.{f}" for f in FEATURES)).groupBy("kind", "proven", *FEATURES).count()
     weights = classifier(sorted(counts.collect()))  # at most kinds x votes x features rows
-    return gazetteer, F.create_map(*(F.lit(x) for pair in sorted(weights.items()) for x in pair)) if weights else F.create_map(F.lit(""), F.lit(0.0))
+    return gazetteer, told, F.create_map(*(F.lit(x) for pair in sorted(weights.items()) for x in pair)) if weights else F.create_map(F.lit(""), F.lit(0.0))
 
 
-def _accepted(held: Column, trained: tuple[Column, Column]) -> Column:
-    gazetteer, weights = trained
-    return F.filter(_voted(held, gazetteer), lambda s: s["proven"] | (_log_odds(s, weights) >= math.log(ACCEPT / (1 - ACCEPT))))
+def _accepted(held: Column, gazetteer: Column, more: Column, weights: Column) -> Column:
+    return F.filter(_voted(held, gazetteer, more), lambda s: s["proven"] | (_log_odds(s, weights) >= math.log(ACCEPT / (1 - ACCEPT))))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -282,7 +303,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Of overlapping spans the first is replaced, and what of a later one goes beyond it. A null text stays null.
     """
-    trained = _trained(keep(docs.select(_spotted(F.col("text")).alias("held")).where(F.size("held") > 0)))
+    gazetteer, told, weights = _trained(keep(docs.select(_spotted(F.col("text")).alias("held"), F.sha2("text", 256).alias("mark")).where(F.size("held") > 0)))
+    mark, more = free_name(docs, "_mark"), free_name(docs, "_more")
+    if told is not None:  # texts without candidates have marks of their own, so that they don't meet in a task
+        docs = docs.withColumn(mark, F.when(F.col("text").rlike(_LIKELY), F.sha2("text", 256)).otherwise(F.monotonically_increasing_id().cast("string")))
+    docs = _with_more(docs, told, mark, more)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def cleaned(found: Column) -> Column:
@@ -299,9 +324,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(found, begin, put, close)
 
-    accepted = _accepted(_spotted(F.col("text")), trained)
+    accepted = _accepted(_spotted(F.col("text")), gazetteer, F.col(more), weights)
     some = F.get(F.transform(F.array(_ordered_spans(accepted)), lambda found: F.when(F.size(found) > 0, cleaned(found)).otherwise(F.col("text"))), F.lit(0))
-    return docs.withColumn("text", F.when(F.col("text").rlike(_LIKELY), some).otherwise(F.col("text")))
+    return docs.withColumn("text", F.when(F.col("text").rlike(_LIKELY), some).otherwise(F.col("text"))).drop(mark, more)
 
 
 def _ordered_spans(spans: Column) -> Column:
@@ -310,16 +335,18 @@ def _ordered_spans(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Personal data in whole texts (doc_id, text), one row for each input row, in the order of a scan.
+    """Personal data in whole texts (doc_id, text), one row for each input row, in the order of a scan unless keys beyond
+    the GAZETTEER commonest are joined.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (proven spans), base_sha256, spans (all spans as kind:start:end, by
     start and kind; code points, end exclusive) and found, the same as array<struct<kind, start, end>>. A null text is
     the empty one and has no span. Rows that repeat are searched each; other columns are ignored; an empty table gives
     an empty result. Added spans are candidates to which the classifier gives ACCEPT or more.
     """
-    seen = keep(docs.select("doc_id", _spotted(F.col("text")).alias("held")))
-    accepted = _accepted(F.col("held"), _trained(seen))
-    out = seen.select("doc_id", _ordered_spans(F.filter("held", lambda s: s["proven"])).alias("base"), _ordered_spans(accepted).alias("found"))
+    seen = keep(docs.select("doc_id", F.monotonically_increasing_id().alias("mark"), _spotted(F.col("text")).alias("held")))
+    gazetteer, told, weights = _trained(seen)
+    accepted = _accepted(F.col("held"), gazetteer, F.col("more"), weights)
+    out = _with_more(seen, told).select("doc_id", _ordered_spans(F.filter("held", lambda s: s["proven"])).alias("base"), _ordered_spans(accepted).alias("found"))
 
     def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")

@@ -62,3 +62,26 @@ def test_reliabilities_tell_good_labelers_from_noise():
     assert share == pytest.approx(0.3, abs=0.03)
     assert chance[0][1][0] == pytest.approx(0.9, abs=0.04) and chance[0][1][1] == pytest.approx(0.1, abs=0.04)
     assert abs(chance[2][1][0] - chance[2][1][1]) < 0.05
+
+
+def test_gazetteer_is_whole_beyond_the_keys_that_tasks_hold(spark, monkeypatch):
+    """With room for one key in all tasks the others are joined, and the results are the same."""
+    hosts = [f"host{h}" for h in "abcd"]
+    rows = [f"reach {i}bob@{h}.zone now" for i in "defghijklmnopqr" for h in hosts]
+    rows += [f"reach bob at {h} dot zone now" for h in hosts] + [f"look at thing{i} dot stop now" for i in "abcdefghijklmnopqrst"] + ["nothing", None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "_more long, text string").selectExpr("_more as doc_id", "text", "_more")
+    whole, redacted = ({r["doc_id"]: r for r in f(frame).collect()} for f in (personal_data.find, personal_data.redact))
+    assert [whole[i]["spans"] for i in (60, 63, 64, 84, 85)] == ["email:6:27", "email:6:27", "", "", ""]
+    monkeypatch.setattr(personal_data, "GAZETTEER", 1)
+    assert {r["doc_id"]: r for r in personal_data.find(frame).collect()} == whole
+    again = personal_data.redact(frame)
+    assert again.columns == frame.columns and {r["doc_id"]: r for r in again.collect()} == redacted
+
+
+def test_written_out_addresses_of_any_length(spark):
+    """Neither long names nor many parts are cut off a candidate."""
+    name, parts = "n" * 90, " dot ".join(["mail", "x" * 40, "a", "b", "c", "example", "org"])
+    told = personal_data.candidates(personal_data.F.col("text"))
+    for text in (f"{name} at {parts}", f"{name} [at] {parts}"):
+        got = spark.createDataFrame([(f"to {text}, now",)], "text string").select(told.alias("s")).first()["s"]
+        assert [(s["kind"], s["start"], s["end"]) for s in got] == [(0, 3, 3 + len(text))]
