@@ -14,9 +14,13 @@ _FENCE = rf"(?Umd)^{_BLANK}(?:```|~~~)[^\n]*(?:\n|\z)"
 _BOUNDARY = rf"{_BLANK}|{_BLANK}#{{1,6}}[^\S\n]+\S[^\n]*|{_BLANK}\|[^\n]*|{_BLANK}(?:[-*_]{_BLANK}){{3,}}+"
 
 
+#: The White_Space characters of Unicode, and the separators U+001C to U+001F.
+_SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
     """Without white space (U+3000 and the separators U+001C to U+001F included) at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def valid(text: Column, drop: bool = False) -> Column:
@@ -25,18 +29,27 @@ def valid(text: Column, drop: bool = False) -> Column:
     return F.translate(text, "�", "") if drop else text
 
 
+def without_noise(text: Column) -> Column:
+    """Markdown noise and URLs to spaces; a text without a character that they begin with is not searched for them."""
+    clean = F.when(text.rlike(r"[`\[#*_~>|]"), F.regexp_replace(text, f"(?Ud){P.LEXICAL_NOISE}", " ")).otherwise(text)
+    return F.when(F.contains(text, F.lit("://")), F.regexp_replace(clean, f"(?U){P.URL}", " ")).otherwise(clean)
+
+
 def clean_lexical(text: Column) -> Column:
     """Markdown noise and URLs to single spaces."""
-    text = F.regexp_replace(text, f"(?Ud){P.LEXICAL_NOISE}", " ")
-    return strip(F.regexp_replace(F.regexp_replace(text, f"(?U){P.URL}", " "), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(without_noise(text), r"(?U)\s+", " "))
 
 
 def clean_inline(line: Column) -> Column:
-    """A line without images, HTML tags, URLs and emphasis; texts of links and inline code stay."""
-    line = F.regexp_replace(line, P.IMAGE, "")
-    line = F.regexp_replace(F.regexp_replace(line, P.LINK, "$1"), P.INLINE_CODE, "$1")
-    line = F.regexp_replace(F.regexp_replace(line, f"(?s){P.HTML_TAG}", ""), f"(?U){P.URL}", "")
-    return strip(F.replace(F.replace(line, F.lit("**")), F.lit("__")))
+    """A line without images, HTML tags, URLs and emphasis; texts of links and inline code stay.
+
+    Only a line with one of the marks that these begin with is searched for them.
+    """
+    clean = F.regexp_replace(line, P.IMAGE, "")
+    clean = F.regexp_replace(F.regexp_replace(clean, P.LINK, "$1"), P.INLINE_CODE, "$1")
+    clean = F.regexp_replace(F.regexp_replace(clean, f"(?s){P.HTML_TAG}", ""), f"(?U){P.URL}", "")
+    clean = F.replace(F.replace(clean, F.lit("**")), F.lit("__"))
+    return strip(F.when(line.rlike(r"[\[`<]|://|\*\*|__"), clean).otherwise(line))
 
 
 def paragraphs(text: Column, profile: P.Profile) -> Column:
@@ -52,13 +65,20 @@ def paragraphs(text: Column, profile: P.Profile) -> Column:
     else:
         blocks = F.split(body, rf"(?Umd)(?:^(?:{_BOUNDARY})(?:\n|\z))++", -1)
 
-    def sentences(line: Column) -> Column:
-        clean = clean_inline(F.regexp_replace(F.regexp_replace(line, f"(?U){P.LIST_ITEM}", ""), f"(?U){P.QUOTE}", ""))
-        is_list = line.rlike(f"(?U){P.LIST_ITEM}")
-        every = F.transform(F.split(clean, profile.sentence_end, -1), lambda s: F.struct(strip(s).alias("text"), is_list.alias("is_list")))
+    # each step is made once for a line: what a lambda's argument stands for is not made again where it is used twice
+    def told(line: Column) -> Column:
+        return F.struct(line.alias("line"), line.rlike(f"(?U){P.LIST_ITEM}").alias("is_list"))
+
+    def unmarked(x: Column) -> Column:
+        item = F.when(x["is_list"], F.regexp_replace(x["line"], f"(?U){P.LIST_ITEM}", "")).otherwise(x["line"])
+        return F.struct(F.when(F.contains(x["line"], F.lit(">")), F.regexp_replace(item, f"(?U){P.QUOTE}", "")).otherwise(item).alias("line"), x["is_list"].alias("is_list"))
+
+    def sentences(x: Column) -> Column:
+        every = F.transform(F.split(clean_inline(x["line"]), profile.sentence_end, -1), lambda s: F.struct(strip(s).alias("text"), x["is_list"].alias("is_list")))
         return F.filter(every, lambda s: s["text"].rlike(profile.keeps))
 
-    kept = F.transform(blocks, lambda b: F.flatten(F.transform(F.split(b, "\n", -1), sentences)))
+    by_line = lambda lines: F.transform(F.transform(F.transform(lines, told), unmarked), sentences)
+    kept = by_line(blocks) if profile.line_is_paragraph else F.transform(blocks, lambda b: F.flatten(by_line(F.split(b, "\n", -1))))
     return F.filter(kept, lambda p: F.size(p) > 0)
 
 

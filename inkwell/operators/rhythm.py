@@ -36,8 +36,8 @@ def _sd(values: Column, mean: Column) -> Column:
 def mattr(sequence: Column, window: int = MATTR_WINDOW) -> Column:
     """Moving-average type-token ratio; of a sequence not longer than the window, the plain ratio; of an empty one, null."""
     n = F.size(sequence)
-    ratios = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.size(F.array_distinct(F.slice(sequence, i, F.lit(window)))) / window)
-    return F.when(n > window, _mean(ratios)).when(n > 0, F.size(F.array_distinct(sequence)) / n)
+    total = F.aggregate(F.sequence(F.lit(1), n - window + 1), F.lit(0.0), lambda t, i: t + F.size(F.array_distinct(F.slice(sequence, i, F.lit(window)))) / window)
+    return F.when(n > window, total / (n - window + 1)).when(n > 0, F.size(F.array_distinct(sequence)) / n)
 
 
 _SENTENCE = "struct<text:string,is_list:boolean>"
@@ -75,7 +75,7 @@ def metrics(docs: DataFrame, profile: Profile = LATIN, analyse: text.Analyser |
         moras, ends = F.array().cast("array<double>"), F.array().cast("array<string>")
     seen = parsed.select(
         "row", F.size("paras").alias("n_paragraphs"), F.size("sents").alias("n_sentences"), F.size(F.filter("sents", lambda s: ~s["is_list"])).alias("n_sentences_prose"),
-        F.transform("sents", lambda s: F.length(F.translate(s["text"], " 　", "")).cast("double")).alias("chars"), moras.alias("moras"),
+        F.transform("sents", lambda s: F.length(F.replace(F.replace(s["text"], F.lit(" ")), F.lit("　"))).cast("double")).alias("chars"), moras.alias("moras"),
         F.transform("paras", lambda p: F.size(p).cast("double")).alias("para_sizes"),
         F.aggregate("sents", F.lit(0), lambda t, s: t + F.length(s["text"]) - F.length(F.translate(s["text"], profile.commas, ""))).alias("commas"),
         F.array_join(F.transform("sents", lambda s: s["text"]), "").alias("joined"), ends.alias("ends"), nouns.alias("nouns"),
