@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def kept(rows: DataFrame) -> DataFrame:
@@ -15,3 +16,9 @@ def kept(rows: DataFrame) -> DataFrame:
             return rows.persist()
         context.setCheckpointDir(told)
     return rows.checkpoint()
+
+
+def made_where(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on what has just been made of them. A plain filter would be moved below the making of
+    its columns, which would then be made twice."""
+    return rows.select(F.explode_outer(F.array(F.when(condition, F.struct(*rows.columns)))).alias("row")).where("row is not null").select("row.*")

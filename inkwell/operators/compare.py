@@ -110,6 +110,7 @@ def ratio(models: DataFrame, *keys: str) -> DataFrame:
 
 
 MOST_MODELS = 1000
+PARTS = 96  # tasks over numbers of documents: few bytes, much work
 
 
 def model_sizes(models: DataFrame) -> dict[str, int]:
@@ -122,8 +123,18 @@ def model_sizes(models: DataFrame) -> dict[str, int]:
 
 def word_ratio(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """(word, docs, ratio) of binary words from their counts: rows (word, model); a model without the word counts 0."""
-    found = rows.groupBy("word").agg(F.count("*").alias("docs"), *(F.count_if(F.col("model") == m).alias(f"k{i}") for i, m in enumerate(sizes)))
-    k = F.array(*(F.struct(F.col(f"k{i}").cast("double").alias("k"), F.lit(float(n)).alias("n")) for i, n in enumerate(sizes.values())))
+    return ratio_of_counts(word_counts(rows, list(sizes)), sizes)
+
+
+def word_counts(rows: DataFrame, models: list[str]) -> DataFrame:
+    """(word, found): documents with a word by model, in the order of ``models``."""
+    return rows.groupBy("word").agg(F.array(*(F.count_if(F.col("model") == m) for m in models)).alias("found"))
+
+
+def ratio_of_counts(counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """word_ratio from word_counts of the same models; words of none of their documents are left out."""
+    found = counts.withColumn("docs", F.aggregate("found", F.lit(0).cast("long"), lambda t, x: t + x)).where("docs > 0")
+    k = F.array(*(F.struct(F.get("found", F.lit(i)).cast("double").alias("k"), F.lit(float(n)).alias("n")) for i, n in enumerate(sizes.values())))
     means = F.transform(k, lambda x: x["k"] / x["n"])
     sds = F.transform(k, lambda x: F.when(x["n"] > 1, F.sqrt(x["k"] / x["n"] * (1 - x["k"] / x["n"]) * x["n"] / (x["n"] - 1))))
     m = float(len(sizes))
@@ -194,7 +205,7 @@ def word_permutation(ratios: DataFrame, sizes: dict[str, int], repetitions: int,
                 out.append(group.assign(perm_p=(np.array(over) + 1) / (repetitions + 1), perm_z=z))
             yield pd.concat(out) if out else pd.DataFrame({"docs": [], "ratio": [], "perm_p": [], "perm_z": []})
 
-    distinct = ratios.where("ratio is not null").select("docs", "ratio").distinct().repartition("docs").sortWithinPartitions("docs")
+    distinct = ratios.where("ratio is not null").select("docs", "ratio").distinct().repartition(PARTS, "docs").sortWithinPartitions("docs")
     told = distinct.mapInPandas(run, "docs long, ratio double, perm_p double, perm_z double").withColumn("perm_z", F.nullif(F.col("perm_z"), F.lit(float("nan"))))
     return ratios.join(told, ["docs", "ratio"], "left").select("word", "docs", "ratio", "perm_p", "perm_z")
 

@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats, text
+from inkwell.functions.session import kept
 from inkwell.profiles import ALPHA, LATIN, Profile
 
 
+PARTS = 96  # tasks over pairs of counts: few bytes, much work
+
+
 def doc_words(docs: DataFrame, profile: Profile = LATIN, analyse: text.Analyser | None = None) -> DataFrame:
     """The columns of docs but text, with n_tokens (repeats counted) and the sorted distinct words.
 
@@ -20,20 +24,23 @@ def doc_words(docs: DataFrame, profile: Profile = LATIN, analyse: text.Analyser
     give way. A null text has no words (n_tokens 0).
     """
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "words")]
-    clean = F.coalesce(text.clean_lexical(F.col("text")), F.lit(""))
     if analyse is not None:
+        clean = F.coalesce(text.clean_lexical(F.col("text")), F.lit(""))
         tokens = text.content_words(F.get(text.analysed(F.array(clean), analyse), F.lit(0)))
     elif profile.analysed:
         raise ValueError(f"profile {profile.name} needs an analyser")
     else:
-        tokens = text.words(clean, profile)
+        tokens = text.words(F.coalesce(text.without_noise(F.col("text")), F.lit("")), profile)  # no token has white space
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("")).alias("row"), tokens.alias("tokens"))
-    return held.select(*(F.col(f"row.`{c}`") for c in others), F.size("tokens").alias("n_tokens"), F.array_sort(F.array_distinct("tokens")).alias("words"))
+    return held.select(*(F.col(f"row.`{c}`") for c in others), F.size("tokens").alias("n_tokens"), F.sort_array(F.array_distinct("tokens")).alias("words"))
 
 
 def incidence(words: DataFrame, *keys: str) -> DataFrame:
-    """One row for each document and word: words are distinct within a document before anything is shuffled."""
-    return words.select("doc_id", *keys, F.explode("words").alias("word"))
+    """One row for each document and word: words are distinct within a document before anything is shuffled.
+
+    A plain explode would be filtered by the size of its array, for which the words would be made a second time.
+    """
+    return words.select("doc_id", *keys, F.explode_outer("words").alias("word")).where("word is not null")
 
 
 def class_sizes(words: DataFrame, label: Column) -> tuple[int, int]:
@@ -52,7 +59,7 @@ def excess(words: DataFrame, label: str, least: int = 5) -> DataFrame:
     Words with the same pair of counts have the same statistics, so tests are made once for a pair of counts.
     """
     n1, n0 = class_sizes(words, F.col(label))
-    counts = doc_frequency(incidence(words, label), F.col(label)).where(F.col("a") + F.col("c") >= least)
+    counts = kept(doc_frequency(incidence(words, label), F.col(label)).where(F.col("a") + F.col("c") >= least))
     tests = counts.groupBy("a", "c").agg(F.count("*").alias("number"))
     tests = tests.withColumn("chi2", stats.yates(F.col("a"), F.col("c"), n1, n0)).withColumn("p_value", stats.chi_square_p(F.col("chi2")))
     tests = stats.benjamini_hochberg(tests)
@@ -82,7 +89,7 @@ def bootstrap_ci(counts: DataFrame, n1: int, n0: int, repetitions: int, seed: in
                 ends[i] = [*np.percentile(p / q, [2.5, 97.5]), *np.percentile(p - q, [2.5, 97.5])]
             yield pd.concat([pairs, pd.DataFrame(ends, columns=names, index=pairs.index)], axis=1)
 
-    pairs = counts.select("a", "c").distinct()
+    pairs = counts.select("a", "c").distinct().repartition(PARTS, "a", "c")
     if n1 and n0:
         return counts.join(pairs.mapInPandas(run, "a long, c long, " + ", ".join(f"{n} double" for n in names)), ["a", "c"])
     return counts.select("*", *(F.lit(None).cast("double").alias(n) for n in names))
