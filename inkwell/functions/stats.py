@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -87,9 +88,75 @@ def poisson_weight(*parts: Column) -> Column:
     return out
 
 
+#: Rotations and sines of md5 (RFC 1321).
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_LANES = 1 << 14  # digests made side by side, so that their words stay in the processor's cache
+
+
+def _digests(message: list[np.ndarray | int], shape: tuple[int, int]) -> np.ndarray:
+    """The first word of md5 of one-block messages, whose 16 words are numbers or arrays of the shape."""
+    first = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in first)
+    mixed, turned = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    for i in range(61):  # the last three steps make the other words
+        kind, at = i // 16, (i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=mixed), np.bitwise_and(mixed, b, out=mixed), np.bitwise_xor(mixed, d, out=mixed)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=mixed), np.bitwise_and(mixed, d, out=mixed), np.bitwise_xor(mixed, c, out=mixed)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=mixed), np.bitwise_xor(mixed, d, out=mixed)
+        else:
+            np.bitwise_not(d, out=mixed), np.bitwise_or(mixed, b, out=mixed), np.bitwise_xor(mixed, c, out=mixed)
+        np.add(mixed, a, out=mixed)
+        word = message[at]
+        if isinstance(word, np.ndarray):
+            np.add(mixed, word, out=mixed), np.add(mixed, np.uint32(_SINES[i]), out=mixed)
+        else:
+            np.add(mixed, np.uint32((_SINES[i] + word) & 0xFFFFFFFF), out=mixed)
+        turn = _TURNS[kind][i % 4]
+        np.left_shift(mixed, np.uint32(turn), out=turned), np.right_shift(mixed, np.uint32(32 - turn), out=mixed)
+        np.bitwise_or(mixed, turned, out=mixed), np.add(mixed, b, out=a)
+        a, b, c, d = d, a, b, c
+    return b + np.uint32(first[0])
+
+
+def hash_indices(seed: int, repetitions: int, names: list[str]) -> np.ndarray:
+    """hash_index of seed, repetition and name in numpy (repetitions x names, uint32).
+
+    Messages of one length have their parts at the same bytes, so a message is the bitwise or of what its repetition and
+    its name write, and all of them are hashed side by side; a name too long for one block is hashed alone.
+    """
+    heads, told = [f"{seed}:{rep}:".encode() for rep in range(repetitions)], [str(name).encode() for name in names]
+    out = np.empty((repetitions, len(told)), np.uint32)
+    by = lambda every: [(n, [i for i, x in enumerate(every) if len(x) == n]) for n in sorted({len(x) for x in every})]
+    for h, reps in by(heads):
+        for t, own in by(told):
+            if h + t > 55:
+                out[np.ix_(reps, own)] = [[int.from_bytes(hashlib.md5(heads[r] + told[i]).digest()[:4]) for i in own] for r in reps]
+                continue
+            left, right = np.zeros((len(reps), 64), np.uint8), np.zeros((len(own), 64), np.uint8)
+            left[:, :h] = np.frombuffer(b"".join(heads[r] for r in reps), np.uint8).reshape(len(reps), h)
+            right[:, h : h + t] = np.frombuffer(b"".join(told[i] for i in own), np.uint8).reshape(len(own), t)
+            left[:, h + t], left[:, 56:58] = 128, np.frombuffer((8 * (h + t)).to_bytes(2, "little"), np.uint8)
+            left, right = left.view("<u4"), right.view("<u4")
+            wide = min(len(own), _LANES)
+            for i in range(0, len(own), wide):
+                high = max(1, _LANES // wide)
+                for r in range(0, len(reps), high):
+                    one, two = left[r : r + high], right[i : i + wide]
+                    shape = len(one), len(two)
+                    same = (one == one[0]).all(axis=0) & (two == two[0]).all(axis=0)
+                    words = [int(one[0, w] | two[0, w]) if same[w] else one[:, w, None] | two[None, :, w] for w in range(16)]
+                    out[np.ix_(reps[r : r + high], own[i : i + wide])] = _digests(words, shape).byteswap()
+    return out
+
+
 def poisson_weights(seed: int, repetitions: int, names: list[str]) -> np.ndarray:
     """The same weights in numpy (repetitions x names): poisson_weight of seed, repetition and name."""
-    heads = [f"{seed}:{rep}:".encode() for rep in range(repetitions)]
-    told = [str(name).encode() for name in names]
-    raw = b"".join(hashlib.md5(h + t).digest()[:4] for h in heads for t in told)
-    return np.searchsorted(POISSON, np.frombuffer(raw, ">u4") / float(1 << 32), side="right").reshape(repetitions, len(told)).astype(float)
+    index = hash_indices(seed, repetitions, names)
+    out = np.zeros(index.shape)
+    for p in POISSON:
+        out += index >= np.uint32(math.ceil(p * 2**32))
+    return out

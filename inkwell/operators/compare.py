@@ -174,12 +174,102 @@ def shuffled_labels(rows: DataFrame, repetitions: int, seed: int) -> DataFrame:
     return plain.select(columns).unionByName(torn.select(columns))
 
 
+EDGE_BITS = 8  # of a hash: bins in which the ends of the models' shares are looked for
+CHUNK = 512  # documents hashed at once
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], repetitions: int, seed: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of batches, whose first column is the document's name, with its hashes (repetitions x documents)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            yield part, stats.hash_indices(seed, repetitions, part.column(0).to_pylist())
+
+
+def _share_ends(rows: DataFrame, sizes: dict[str, int], repetitions: int, seed: int) -> tuple[np.ndarray, list[list]]:
+    """Hash and doc_id of the first document past each model's share but the last, by repetition (repetitions x ends).
+
+    Counts of hashes in bins, summed in the tasks, tell the bins in which shares end; only documents in these are ordered.
+    """
+    bins, ends = 1 << EDGE_BITS, np.cumsum(list(sizes.values()))[:-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(repetitions * bins, np.int64)
+        row = np.arange(repetitions, dtype=np.int64)[:, None] * bins
+        for _, index in _hashed(batches, repetitions, seed):
+            total += np.bincount((row + (index >> np.uint32(32 - EDGE_BITS))).ravel(), minlength=len(total))
+        if total.any():
+            total = total.reshape(repetitions, bins)
+            yield pa.RecordBatch.from_pydict({"rep": np.arange(repetitions, dtype=np.int32), "n": pa.array(list(total), pa.list_(pa.int64()))})
+
+    named = rows.select(F.col("doc_id").cast("string").alias("_name"), "doc_id")
+    counts = named.select("_name").mapInArrow(count, "rep int, n array<long>").select("rep", F.posexplode("n").alias("bin", "n")).groupBy("rep", "bin").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("n"))  # a row for each repetition, an entry for each bin
+    upto = np.zeros((repetitions, bins), np.int64)
+    for r in whole.collect():
+        upto[r["rep"], [x["bin"] for x in r["n"]]] = [x["n"] for x in r["n"]]
+    upto = upto.cumsum(axis=1)
+    edge = np.stack([(upto <= end).sum(axis=1) for end in ends], axis=1)
+    need = ends - np.where(edge > 0, np.take_along_axis(upto, np.maximum(edge - 1, 0), axis=1), 0)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, index in _hashed(batches, repetitions, seed):
+            own = index >> np.uint32(32 - EDGE_BITS)
+            inside = np.zeros(index.shape, bool)
+            for e in range(len(ends)):
+                inside |= own == edge[:, e, None]
+            rep, at = np.nonzero(inside)
+            yield pa.RecordBatch.from_pydict({"rep": rep.astype(np.int32), "bin": own[rep, at].astype(np.int32), "key": index[rep, at].astype(np.int64), "doc_id": part.column(1).take(pa.array(at))})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    held = named.mapInArrow(pick, f"rep int, bin int, key long, doc_id {kind}")
+    asked = rows.sparkSession.createDataFrame([(r, e, int(edge[r, e]), int(need[r, e]) + 1) for r in range(repetitions) for e in range(len(ends))], "rep int, e int, bin int, place int")
+    placed = held.withColumn("place", F.row_number().over(Window.partitionBy("rep", "bin").orderBy("key", "doc_id")))
+    keys, names = np.zeros(edge.shape, np.int64), [[None] * len(ends) for _ in range(repetitions)]
+    for r in placed.join(F.broadcast(asked), ["rep", "bin", "place"]).select("rep", "e", "key", "doc_id").collect():  # a row for each repetition and end
+        keys[r["rep"], r["e"]], names[r["rep"]][r["e"]] = r["key"], r["doc_id"]
+    return keys, names
+
+
 def shuffled_ratios(rows: DataFrame, metrics: tuple[str, ...], repetitions: int, seed: int) -> DataFrame:
-    """(metric, rep, ratio) under shuffled models, rows (doc_id, model, metrics)."""
-    dealt = shuffled_labels(rows.select("doc_id", "model", *metrics), repetitions, seed)
-    each = dealt.groupBy("rep", "model").agg(*(f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("a", F.avg), ("s", F.stddev_samp))))
-    long = each.select("rep", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"a_{m}").alias("mean"), F.col(f"s_{m}").alias("sd")) for m in metrics))).alias("x")).select("rep", "x.*").where("mean is not null")
-    out = long.groupBy("metric", "rep").agg(F.stddev_samp("mean").alias("b"), F.avg("sd").alias("w"), F.count("sd").alias("k"), F.count("*").alias("m"))
+    """(metric, rep, ratio) under shuffled models, rows (doc_id, model, metrics): models are dealt as in shuffled_labels.
+
+    A document's model follows from its hash and the hashes at which shares end, so a task deals its documents in all
+    repetitions where they stand and gives the sums of each model: what is shuffled doesn't grow with the documents, but
+    for those in bins where a share ends.
+    """
+    sizes = model_sizes(rows)
+    rows, width = rows.where("model is not null").select("doc_id", *metrics), len(metrics)
+    keys, names = _share_ends(rows, sizes, repetitions, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(sizes), repetitions, 3 * width))
+        for part, index in _hashed(batches, repetitions, seed):
+            value = np.column_stack([part.column(m).to_numpy(zero_copy_only=False).astype(float) for m in metrics])
+            known = ~np.isnan(value)
+            value = np.where(known, value, 0.0)
+            cells = np.concatenate([known, value, value * value], axis=1)
+            own = part.column(1).to_pylist()
+            model = np.zeros(index.shape, np.int16)
+            for e in range(len(sizes) - 1):
+                past = index > keys[:, e, None]
+                for rep, at in zip(*np.nonzero(index == keys[:, e, None]), strict=True):
+                    past[rep, at] = own[at] >= names[rep][e]
+                model += past
+            for m in range(len(sizes)):
+                sums[m] += (model == m).astype(float) @ cells
+        for m in range(len(sizes)):
+            if sums[m].any():
+                yield pa.RecordBatch.from_pydict({"rep": np.arange(repetitions, dtype=np.int32), "model": np.full(repetitions, m, np.int32), **{f"{k}_{i}": sums[m][:, j * width + i] for j, k in enumerate("nsq") for i in range(width)}})
+
+    columns = [f"{k}_{i}" for k in "nsq" for i in range(width)]
+    dealt = rows.select(F.col("doc_id").cast("string").alias("_name"), "doc_id", *metrics).mapInArrow(run, "rep int, model int, " + ", ".join(f"{c} double" for c in columns))
+    each = dealt.groupBy("rep", "model").agg(*(F.sum(c).alias(c) for c in columns))
+    long = each.select("rep", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"{k}_{i}").alias(k) for k in "nsq")) for i, m in enumerate(metrics)))).alias("x")).select("rep", "x.*").where("n > 0")
+    spread = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    sd = F.when(F.col("n") > 1, F.sqrt(F.when(spread > 1e-13 * F.col("q"), spread).otherwise(0.0) / (F.col("n") - 1)))  # below: rounding of equal values
+    moment = long.select("metric", "rep", (F.col("s") / F.col("n")).alias("mean"), sd.alias("sd"))
+    out = moment.groupBy("metric", "rep").agg(F.stddev_samp("mean").alias("b"), F.avg("sd").alias("w"), F.count("sd").alias("k"), F.count("*").alias("m"))
     return out.select("metric", "rep", F.when((F.col("k") == F.col("m")) & (F.col("w") > 0), F.col("b") / F.col("w")).alias("ratio"))
 
 
