@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats
+from inkwell.functions.session import kept
 
 
 def long_metrics(rows: DataFrame, metrics: tuple[str, ...], *keys: str) -> DataFrame:
@@ -72,7 +73,8 @@ def mann_whitney(rows: DataFrame, group: str, *keys: str) -> DataFrame:
     a value's rank is the number of rows in lower ranges and of lower rows in its own, so no task ranks a whole key.
     """
     counts = rows.groupBy(*keys, "value").agg(F.count_if(F.col(group)).alias("t1"), F.count("*").alias("t"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", F.array(*(F.lit(i / BINS) for i in range(1, BINS))), F.lit(1000)).alias("cuts"))
+    cuts = kept(counts.groupBy(*keys).agg(F.percentile_approx("value", F.array(*(F.lit(i / BINS) for i in range(1, BINS))), F.lit(1000)).alias("cuts")))
+    cuts.count()  # made once: approximate percentiles follow the order of merging, and all steps must share their ranges
     cut = counts.join(cuts, [*keys]).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     lower = cut.groupBy(*keys, "bin").agg(F.sum("t").alias("own")).withColumn("lower", F.sum("own").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("own")).drop("own")
     below = F.sum("t").over(Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
